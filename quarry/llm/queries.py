@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import warc
+from quarry.llm import mixing, warc
 
 QUERIES = {
     "op9_warc": warc.op9_warc,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE_SQL = {
