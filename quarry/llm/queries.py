@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.llm import mixing, warc
+from quarry.llm import mixing, packing, warc
 
 QUERIES = {
+    "op7_packing": packing.op7_packing,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
 }
