@@ -37,7 +37,7 @@ SEED = 20240
 #: The table of sources goes to the driver and into the tasks' closures, so its
 #: size is checked: this many rows at most.
 MAX_SOURCES = 200_000
-_BUCKET_ROWS = 2048
+_BUCKET_ROWS = 512
 
 
 def count_words(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
@@ -136,23 +136,22 @@ class Mix:
         targets = reach_targets(sizes, [weights[k % len(weights)] for k in range(len(got))])
         self.blocks = np.array([-(-s // block_words) for s in sizes], np.int64)
         self.slots_of = np.array([min(MAX_REPEATS * int(b), round(t * int(b) / s)) if s else 0 for s, t, b in zip(sizes, targets, self.blocks, strict=True)], np.int64)
-        rows = [(k, r.source, s, t) for k, (r, s, t) in enumerate(zip(got, sizes, targets, strict=True))]
-        self.sources = self.spark.createDataFrame(rows, "src int, source string, source_size long, target double")
-        self.documents = self._positions(sized, sum(r.n for r in got))
+        rows = [(k, r.source, s, t, max(1, r.n // _BUCKET_ROWS)) for k, (r, s, t) in enumerate(zip(got, sizes, targets, strict=True))]
+        self.sources = self.spark.createDataFrame(rows, "src int, source string, source_size long, target double, buckets long")
+        self.documents = self._positions(sized)
 
-    def _positions(self, sized: DataFrame, n: int) -> DataFrame:
+    def _positions(self, sized: DataFrame) -> DataFrame:
         """Where each document starts among its source's words: sums within
         buckets of a source, then sums over the buckets, so that no task holds a
         whole source."""
-        buckets = max(1, n // _BUCKET_ROWS)
         d = sized.join(F.broadcast(self.sources), sized["source"].eqNullSafe(self.sources["source"])).drop(self.sources["source"])
-        d = d.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+        d = d.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.col("buckets")))
         inside = Window.partitionBy("src", "bucket").orderBy("doc_id", "size")
         d = d.withColumn("within", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         sums = d.groupBy("src", "bucket").agg(F.sum("size").alias("held"))
         over = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         sums = sums.select("src", "bucket", (F.sum("held").over(over) - F.col("held")).alias("before"))
-        return d.join(sums, ["src", "bucket"]).withColumn("start", F.col("before") + F.col("within")).drop("bucket", "before", "within")
+        return d.join(sums, ["src", "bucket"]).withColumn("start", F.col("before") + F.col("within")).drop("bucket", "buckets", "before", "within")
 
     @property
     def pieces(self) -> DataFrame:
@@ -199,7 +198,8 @@ class Mix:
     def mixed(self) -> DataFrame:
         """One row per slot and document piece in it; documents of which nothing
         is taken keep one row without a slot."""
-        return self.pieces.join(self.slots, ["src", "block"], "left")
+        # both sides grow with the data, which the planner can't see of the slots
+        return self.pieces.join(self.slots.hint("merge"), ["src", "block"], "left")
 
     def taken(self) -> DataFrame:
         """One row per document with the words that the mix takes of it."""
