@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _own_dirs: dict[str, str] = {}
 
@@ -88,6 +89,23 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Weights and, last, the intercept of a ridge logistic regression, by Newton."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    weight = np.ones(len(x)) if weight is None else weight
+    penalty = np.full(x.shape[1], ridge)
+    penalty[-1] = 1e-6
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (weight * (p - y)) + penalty * w
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty), grad)
+        w -= np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A finalizer that spreads every input bit over all 64."""
     h = h ^ (h >> np.uint64(33))
@@ -127,12 +145,12 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 <<
             at, done = upto, int(end[upto - 1])
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words `[^\\x20\\x09-\\x0D]+`, and the n+1 offsets of
-    each row's words among them."""
+def words(data: np.ndarray, off: np.ndarray, separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words `[^\\x20\\x09-\\x0D]+` (or what lies between
+    other separators), and the n+1 offsets of each row's words among them."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    inside = ~_SEP[data]
+    inside = ~separators[data]
     fresh = np.empty(len(data), bool)
     fresh[0] = True
     np.logical_not(inside[:-1], out=fresh[1:])
@@ -185,6 +203,41 @@ def shingle_hashes(h: np.ndarray, word_off: np.ndarray, width: int) -> tuple[np.
     return value, np.searchsorted(rows, np.arange(len(counts) + 1))
 
 
+#: All bytes but ASCII letters and digits and those of longer UTF-8 sequences.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+
+
+# ------------------------------------------------------------- bounded samples
+
+
+def bounded_sample(docs: DataFrame, labelled: DataFrame, per_label: int, max_bytes: int, max_labels: int) -> tuple[pa.Table, dict]:
+    """Whole texts of labelled rows to fit a model on, and the rows of each label.
+
+    ``labelled`` has doc_id and label.  Of each label the ``per_label`` rows with
+    the smallest hash of their id are taken, fewer where their texts would exceed
+    an equal share of ``max_bytes``; so the sample is the same on every run and
+    has a size that doesn't grow with the data.  Only counts are over all rows.
+    """
+    totals = {r.label: r.n for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(max_labels + 1).collect()}
+    if len(totals) > max_labels:
+        raise ValueError(f"more than {max_labels} labels")
+    h = F.xxhash64("doc_id").alias("h")
+    best = Window.partitionBy("label").orderBy("h", "doc_id")
+    ids = labelled.where(F.col("doc_id").isNotNull()).select("doc_id", "label", h).withColumn("r", F.row_number().over(best)).where(F.col("r") <= per_label).drop("r")
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    picked = texts.join(F.broadcast(ids), "doc_id")
+    sizes = picked.select("label", "h", F.octet_length("text").alias("b")).toPandas().sort_values(["label", "h"])
+    share = max_bytes // max(1, len(totals))
+    sizes["upto"] = sizes.groupby("label")["b"].cumsum()
+    fits = sizes[sizes["upto"] <= share].groupby("label")["h"].max()
+    kept = F.lit(False)
+    for label, last in fits.items():
+        kept = kept | ((F.col("label") == label) & (F.col("h") <= int(last)))
+    table = picked.where(kept).select("doc_id", "label", "h", "text").toArrow()
+    return table.sort_by([("h", "ascending"), ("doc_id", "ascending")]).combine_chunks(), totals
+
+
 # ------------------------------------------------------------- bounded filters
 
 #: Bits of the filter that is sent to every worker: 4 MB, whatever the data.
