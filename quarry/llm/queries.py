@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.llm import mixing, packing, warc
+from quarry.llm import langid, mixing, packing, quality, toxicity, warc
 
 QUERIES = {
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_quality": quality.op5_quality,
+    "op6_langid": langid.op6_langid,
     "op7_packing": packing.op7_packing,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
