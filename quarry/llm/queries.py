@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import langid, mixing, packing, quality, toxicity, warc
+from quarry.llm import langid, media, minhash, mixing, packing, quality, toxicity, warc
 
 QUERIES = {
+    "op2_media": media.op2_media,
+    "op3_minhash": minhash.op3_minhash,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality": quality.op5_quality,
     "op6_langid": langid.op6_langid,
