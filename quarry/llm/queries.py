@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import langid, media, minhash, mixing, packing, quality, toxicity, warc
+from quarry.llm import embeddings, langid, media, minhash, mixing, packing, quality, toxicity, warc
 
 QUERIES = {
     "op2_media": media.op2_media,
@@ -11,10 +11,12 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_langid": langid.op6_langid,
     "op7_packing": packing.op7_packing,
+    "op8_embeddings": embeddings.op8_embeddings,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE_SQL = {
+    "op8_embeddings": embeddings.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
 }
