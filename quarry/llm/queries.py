@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.llm import embeddings, langid, media, minhash, mixing, packing, quality, toxicity, warc
+from quarry.llm import embeddings, langid, lm, media, minhash, mixing, packing, quality, toxicity, warc
 
 QUERIES = {
+    "op1_lm": lm.op1_lm,
     "op2_media": media.op2_media,
     "op3_minhash": minhash.op3_minhash,
     "op4_toxicity": toxicity.op4_toxicity,
