@@ -18,6 +18,7 @@ null doc_id is kept; other columns are ignored; an empty table packs to no rows.
 
 from __future__ import annotations
 
+import base64
 import zlib
 from collections.abc import Iterator
 
@@ -28,62 +29,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import byte_view, materialize, text_slices
+from quarry.llm.common import byte_view, materialize, text_slices, words
 
 WINDOW = 2048
 END_ID = 1
 MIN_PIECE = 256
 SHARD_TOKENS = 1 << 20
 TOKENIZER = "byte_bpe_50k.json"
+RANKED = "byte_bpe_50k.tiktoken"
 MAX_SOURCES = 200_000
-_CACHE_WORDS = 300_000
+#: Bytes of the longest word or blank run that the ranked encoder takes.
+LONGEST_RUN = 400
+#: Bytes that end the ranked encoder's part: controls, and leads beyond U+024F.
+_ODD = np.zeros(256, bool)
+_ODD[[*range(0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F, *range(0xC9, 0x100)]] = True
 
 
-class WordEncoder:
+class TextEncoder:
     """Ids of whole texts as little-endian 16-bit bytes.
 
-    The vocabulary's splitting rule never lets a token cross a single space into
-    the next word, so a text splits at its spaces and words are looked up; words
-    not seen before are encoded by the tokenizer in batches.  A text with a space
-    before other white space, or at its end, is encoded whole.
+    The vocabulary exists in two forms that give the same ids; the ranked form's
+    encoder is five times as fast.  It takes the texts on whose splitting the two
+    can't differ - characters up to U+024F without controls and odd blanks - and
+    that hold no run long enough to cost it a quadratic merge; the tokenizer
+    itself takes all others.
     """
 
-    def __init__(self, path: str):
-        import re
-
+    def __init__(self, path: str, ranked_path: str | None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.odd = re.compile(r" (?:\s|\Z)").search
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint16).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if not t or self.odd(t) else t.split(" ") for t in texts]
-        fresh = {w for s in split if s for w in s[1:]} - self.known.keys()
-        if len(self.known) + len(fresh) > _CACHE_WORDS:
-            self.known.clear()
-            fresh = {w for s in split if s for w in s[1:]}
-        fresh_list = list(fresh)
-        self.known.update(zip(fresh_list, self._ids([" " + w for w in fresh_list]), strict=True))
-        whole = iter(self._ids([t if s is None else s[0] for t, s in zip(texts, split, strict=True)]))
-        get = self.known.__getitem__
-        return [next(whole) + (b"".join(map(get, s[1:])) if s else b"") for s in split]
-
-
-def tokenize(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+        self.ranked = None
+        if ranked_path:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranked_path, "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.ranked = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @staticmethod
+    def plain(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Which texts the ranked encoder may take."""
+        n = len(off) - 1
+        out = np.ones(n, bool)
+        if not len(data):
+            return out
+        odd = _ODD[data]
+        odd[1:] |= (data[:-1] == 0xC2) & (data[1:] <= 0xA0)
+        out[np.searchsorted(off, np.flatnonzero(odd), "right") - 1] = False
+        starts, ends, word_off = words(data, off)
+        row = np.repeat(np.arange(n), np.diff(word_off))
+        out[row[ends - starts > LONGEST_RUN]] = False
+        before = np.where(np.arange(len(starts)) == word_off[row], off[row], np.concatenate([[0], ends[:-1]]))
+        out[row[starts - before > LONGEST_RUN]] = False
+        last = np.where(np.diff(word_off) > 0, np.concatenate([ends, [0]])[np.maximum(word_off[1:] - 1, 0)], off[:-1])
+        out[off[1:] - last > LONGEST_RUN] = False
+        return out
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        texts = column.to_pylist()
+        fast = self.plain(*byte_view(column)) if self.ranked else np.zeros(len(texts), bool)
+        slow = [t for t, f in zip(texts, fast, strict=True) if not f]
+        rest = iter(self.tokenizer.encode_batch(slow, add_special_tokens=False) if slow else ())
+        return [(self.ranked.encode_to_numpy(t, disallowed_special=()).astype("<u2") if f else np.array(next(rest).ids, "<u2")).tobytes() for t, f in zip(texts, fast, strict=True)]
+
+
+_encoders: dict[tuple, TextEncoder] = {}
+
+
+def tokenize(docs: DataFrame, tokenizer_path: str, ranked_path: str | None = None) -> DataFrame:
     """doc_id, source, n_tokens (with the end id), ids (16-bit, little-endian)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = WordEncoder(tokenizer_path), np.array([END_ID], np.uint16).tobytes()
+        key, end = (tokenizer_path, ranked_path), np.array([END_ID], "<u2").tobytes()
+        if key not in _encoders:  # once a worker
+            _encoders[key] = TextEncoder(*key)
         for batch in text_slices(batches, "text", 1 << 20):
-            ids = [x + end for x in encoder.encode(pc.fill_null(batch.column("text"), "").to_pylist())]
+            ids = [x + end for x in _encoders[key].encode(pc.fill_null(batch.column("text"), ""))]
             n = pa.array([len(x) // 2 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), n, pa.array(ids, pa.binary())], ["doc_id", "source", "n_tokens", "ids"])
 
@@ -135,11 +162,11 @@ def round_robin(src: np.ndarray, tokens: np.ndarray, share: np.ndarray, base: in
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
-def pack(docs: DataFrame, tokenizer_path: str, targets: dict | None = None, window: int = WINDOW, min_piece: int = MIN_PIECE, shard_tokens: int = SHARD_TOKENS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, ranked_path: str | None = None, targets: dict | None = None, window: int = WINDOW, min_piece: int = MIN_PIECE, shard_tokens: int = SHARD_TOKENS, with_ids: bool = False) -> DataFrame:
     """One row per piece; ``targets`` maps sources to weights (default: each
     source's share of all tokens, which uses every queue up evenly)."""
     spark = docs.sparkSession
-    tokens = materialize(tokenize(docs, tokenizer_path), "tokens")
+    tokens = materialize(tokenize(docs, tokenizer_path, ranked_path), "tokens")
     totals = tokens.groupBy("source").agg(F.sum("n_tokens").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -192,8 +219,8 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: dict | None = None, wind
     return sharded.groupBy("shard").cogroup(plan.groupBy("shard")).applyInArrow(place, schema)
 
 
-def op7_packing(spark, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+def op7_packing(spark, sf_dir: str, tokenizer_path: str | None = None, ranked_path: str | None = None) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(docs, tokenizer_path or public_tokenizers.path(TOKENIZER))
+    return pack(docs, tokenizer_path or public_tokenizers.path(TOKENIZER), ranked_path or public_tokenizers.path(RANKED))
