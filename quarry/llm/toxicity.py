@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import NOT_ALNUM, bounded_sample, byte_view, fit_logistic, id_fold, span_hashes, text_slices, words
 
 #: The sample to fit on: rows of each label, and bytes of text in all.
-SAMPLE_ROWS = 6000
-SAMPLE_BYTES = 48 << 20
+SAMPLE_ROWS = 3000
+SAMPLE_BYTES = 16 << 20
 PRIOR = 0.5
 DRIFT = 0.25
 #: A segment is significant when fewer than this many like it are expected in a
@@ -65,6 +65,18 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(b, e, float(hi - lo)) for b, e, lo, hi in stack]
 
 
+def _hashed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of the sample and the offsets of its texts, made
+    a slice at a time to bound the driver's memory."""
+    hashes, counts = [], []
+    for part in text_slices(iter(table.to_batches()), "text"):
+        data, off = byte_view(part.column("text"))
+        starts, ends, word_off = words(data, off, NOT_ALNUM)
+        hashes.append(span_hashes(data, starts, ends))
+        counts.append(np.diff(word_off))
+    return np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
+
 class ToxicityModel:
     """Word scores and the calibration; at most the sample's words in size."""
 
@@ -78,9 +90,7 @@ class ToxicityModel:
         n1, n0 = float((y == 1).sum()), float((y == 0).sum())
         if not n1 or not n0:
             return
-        data, off = byte_view(table.column("text"))
-        starts, ends, word_off = words(data, off, NOT_ALNUM)
-        h = span_hashes(data, starts, ends)
+        h, word_off = _hashed(table)
         doc = np.repeat(np.arange(len(y)), np.diff(word_off))
         vocabulary, at = np.unique(h, return_inverse=True)
         pairs = np.unique(at.astype(np.int64) * len(y) + doc)  # a word counts once in a document
