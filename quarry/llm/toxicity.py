@@ -1,8 +1,9 @@
 """Toxicity by maximum-scoring segments.
 
 Fitting: on a bounded sample of labelled rows, each word gets the log-odds of
-toxic against other documents under a Dirichlet prior, shrunk to the nearer end
-of its 95 % interval (0 where that spans 0), less a drift that makes an average
+toxic against other documents under a Dirichlet prior (counted once with each
+word before it, so copies of a text add nothing), shrunk to the nearer end of
+its 95 % interval (0 where that spans 0), less a drift that makes an average
 word's score negative.  Scoring: a linear scan finds every maximal-scoring
 segment of a text; under the clean documents' word scores a segment of score S
 in n words has the extreme-value tail K n exp(-lambda S), with lambda from the
@@ -93,11 +94,13 @@ class ToxicityModel:
         h, word_off = _hashed(table)
         doc = np.repeat(np.arange(len(y)), np.diff(word_off))
         vocabulary, at = np.unique(h, return_inverse=True)
-        pairs = np.unique(at.astype(np.int64) * len(y) + doc)  # a word counts once in a document
-        in_toxic = y[pairs % len(y)] == 1
-        c1 = np.bincount(pairs[in_toxic] // len(y), minlength=len(vocabulary)).astype(float)
-        c0 = np.bincount(pairs[~in_toxic] // len(y), minlength=len(vocabulary)).astype(float)
-        odds = np.log((c1 + prior) / (n1 + 2 * prior - c1 - prior + 1e-9)) - np.log((c0 + prior) / (n0 + 2 * prior - c0 - prior + 1e-9))
+        # a word counts once with each word before it, so copies of a text add nothing
+        m = len(vocabulary) + 1
+        before = np.concatenate([[m - 1], at[:-1]]).astype(np.int64)
+        before[word_off[:-1][np.diff(word_off) > 0]] = m - 1
+        pair, toxic = at.astype(np.int64) * m + before, y[doc] == 1
+        c1, c0 = (np.bincount(np.unique(pair[side]) // m, minlength=m - 1).astype(float) for side in (toxic, ~toxic))
+        odds = np.log((c1 + prior) / (c1.sum() + prior - c1)) - np.log((c0 + prior) / (c0.sum() + prior - c0))
         width = 1.96 * np.sqrt(1 / (c1 + prior) + 1 / (c0 + prior))
         shrunk = np.sign(odds) * np.maximum(0, np.abs(odds) - width)
         used = shrunk != 0
