@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import bounded_sample, fit_logistic, id_fold, mix64, text_slices
 
 #: The sample to fit on: rows of each language, bytes of text and languages in all.
-SAMPLE_ROWS = 1200
-SAMPLE_BYTES = 16 << 20
+SAMPLE_ROWS = 800
+SAMPLE_BYTES = 8 << 20
 MAX_LANGUAGES = 256
 ORDER = 4
 ALPHABET = 62
