@@ -243,5 +243,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs without all but one document of each group of near-duplicates (the
+    smallest doc_id of the group stays), all columns kept.
+
+    A doc_id names one document: its rows stay if any of them is kept, and rows
+    that repeat both id and text stay once.  A null doc_id stays.  A filter of
+    fixed size lets most rows pass without a shuffle; only rows whose id may be
+    among those dropped or repeated meet them in a join.
+    """
+    found = materialize(near_duplicates(docs, width, percent), "near")
+    ids = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    ids = materialize(ids.where("not stays or n > 1").select("doc_id", "stays"), "marked")
+    known = docs.sparkSession.sparkContext.broadcast(key_filter(ids, "doc_id"))
+    bit, fresh = filter_column("doc_id"), "bit"
+    while fresh in docs.columns:
+        fresh += "_"
+    marked = docs.withColumn(fresh, F.when(F.col("doc_id").isNotNull(), bit))
+
+    def part(inside: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bits = batch.column(fresh)
+                met = passes(known.value, bits.fill_null(0).to_numpy()) & bits.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(met if inside else ~met)).drop_columns([fresh])
+
+        return run
+
+    alone = marked.mapInArrow(part(False), docs.schema)
+    met = marked.mapInArrow(part(True), docs.schema).hint("merge").join(ids.where("not stays"), "doc_id", "left_anti").select(docs.columns)
+    return alone.unionByName(met.dropDuplicates(["doc_id", "text"]))
+
+
 def op3_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=85)

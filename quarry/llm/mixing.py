@@ -125,9 +125,10 @@ def shard_counts(totals: np.ndarray, shard: int, per_shard: int = SHARD_SLOTS, s
 class Mix:
     """A planned mix: ``sources``, ``pieces``, ``slots`` and what joins them."""
 
-    def __init__(self, docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[float, ...] = (1, 2, 3), seed: int = SEED, per_shard: int = SHARD_SLOTS):
+    def __init__(self, docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[float, ...] = (1, 2, 3), seed: int = SEED, per_shard: int = SHARD_SLOTS, extra: dict | None = None):
         self.spark, self.block_words, self.seed, self.per_shard = docs.sparkSession, block_words, seed, per_shard
-        sized = materialize(count_words(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")), "sizes")
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *(c.alias(k) for k, c in (extra or {}).items()), F.col("text").cast("string").alias("text"))
+        sized = materialize(count_words(rows, keep=("doc_id", "source", *(extra or {}))), "sizes")
         got = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
         if len(got) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -211,5 +212,47 @@ class Mix:
         return with_words.select(names).unionByName(none.select(names))
 
 
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[float, ...] = (1, 2, 3), seed: int = SEED) -> DataFrame:
+    """What the mix takes of docs, with the columns of docs: a row for each
+    document and each time around its source, whose text is the words taken then
+    (the whole text where all were) and whose n_chars, if there, is its length.
+
+    A document is known by doc_id and text; rows that repeat both must have been
+    merged before, as near-duplicate removal does.
+    """
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), F.xxhash64("text").alias("_text")]
+    plan = Mix(docs, block_words, weights, seed, extra={"_text": F.xxhash64("text")})
+    runs = plan.pieces.where("block is not null").hint("merge").join(plan.slots.hint("merge"), ["src", "block"])
+    runs = runs.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_id"), "_text", "epoch").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_runs"))
+    columns = docs.columns
+    joined = docs.select("*", *key).hint("merge").join(runs, ["_id", "_text"]).select(*columns, "_runs")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text"):
+            data, off = byte_view(batch.column("text"))
+            starts, ends, word_off = words(data, off)
+            texts = []
+            for k, runs_ in enumerate(batch.column("_runs").to_pylist()):
+                begin, have, parts = int(word_off[k]), int(word_off[k + 1] - word_off[k]), []
+                if sum(r["n_words"] for r in runs_) == have:
+                    texts.append(data[off[k] : off[k + 1]].tobytes().decode())
+                    continue
+                merged: list[list[int]] = []
+                for r in runs_:
+                    if merged and merged[-1][1] == r["first_word"]:
+                        merged[-1][1] += r["n_words"]
+                    else:
+                        merged.append([r["first_word"], r["first_word"] + r["n_words"]])
+                for a, b in merged:
+                    parts.append(data[starts[begin + a] : ends[begin + b - 1]].tobytes().decode())
+                texts.append("\n".join(parts))
+            new = {"text": pa.array(texts, batch.column("text").type)}
+            if "n_chars" in columns:
+                new["n_chars"] = pa.array([len(t) for t in texts]).cast(batch.column("n_chars").type)
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in columns], columns)
+
+    return joined.mapInArrow(cut, docs.schema)
+
+
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     return Mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).taken()

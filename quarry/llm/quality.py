@@ -132,7 +132,7 @@ class QualityModel:
         for k in range(len(column)):
             data, off = byte_view(pa.array([column[k].as_py()], pa.large_string()))
             ids, count = np.unique(np.concatenate([f for f, _ in features(data, off)]), return_counts=True)
-            out.append((ids, count / count.sum()) if len(ids) else (ids, count.astype(float)))
+            out.append((ids.astype(np.int32), (count / max(1, count.sum())).astype(np.float32)))
         return out
 
     def scores(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -166,6 +166,17 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, ke
     return rows.mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, all their columns kept."""
+    model = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text"):
+            yield batch.filter(pa.array(model.value.scores(*byte_view(batch.column("text"))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = fit(docs, labels, id_fold("doc_id", _FOLDS) != _HELD_OUT)
