@@ -12,8 +12,9 @@ and answering share one shuffle.
 An n-gram filter grows with its corpus, so it has no size bound under which it
 could be broadcast whole: probes travel to its segments instead.
 
-The model interpolates: P(w|u) = max(c(uw) - D, 0) / c(u) + D T(u) / c(u) P(w),
-P(w) add-one smoothed, with T(u), the kinds of word after u, taken as c(u)^beta
+The model is Witten-Bell's interpolation: P(w|u) = (1 - m) c(uw) / c(u) + m P(w)
+with m = T(u) / (T(u) + c(u)) and P(w) add-one smoothed, which sums to 1 but for
+the counts' quantisation.  T(u), the kinds of word after u, is taken as c(u)^beta
 for the one beta at which these sum to the number of distinct bigrams.  The text
 of a document ends in one end token, which is also the context of the next start.
 
@@ -41,7 +42,6 @@ BITS_PER_ITEM = 10
 PROBES = 7
 #: Ratio of neighbouring quantised counts.
 QUANTUM = math.sqrt(2)
-DISCOUNT = 0.75
 _FOLDS, _HELD_OUT = 7, 2
 _END = np.uint64(0x1F3D5B79A2C4E608)
 _BETAS = np.round(np.arange(0.30, 1.0001, 0.02), 2)
@@ -243,9 +243,8 @@ def token_log10(c_word: np.ndarray, c_context: np.ndarray, c_pair: np.ndarray, t
     """log10 of each token's probability under the add-one base and the model."""
     base = (c_word + 1.0) / (tokens + kinds + 1.0)
     context = np.maximum(1.0, c_context)
-    follow = np.minimum(1.0, DISCOUNT * context ** (beta - 1))
-    seen = np.minimum(np.maximum(0.0, c_pair - DISCOUNT) / context, 1 - follow)
-    p = np.where(c_context > 0, seen + follow * base, base)
+    novel = 1 / (1 + context ** (1 - beta))
+    p = np.where(c_context > 0, (1 - novel) * np.minimum(1.0, c_pair / context) + novel * base, base)
     return np.log10(base), np.log10(p)
 
 
