@@ -188,6 +188,22 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, k
     return rows.mapInArrow(run, schema)
 
 
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score is under the threshold, all their columns kept."""
+    model = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in text_slices(batches, "text"):
+            data, off = byte_view(batch.column("text"))
+            starts, ends, word_off = words(data, off, NOT_ALNUM)
+            s = m.word_scores(span_hashes(data, starts, ends))
+            p = [m.probability(m.evidence(maximal_segments(s[a:b]), b - a)) for a, b in zip(word_off[:-1].tolist(), word_off[1:].tolist(), strict=True)]
+            yield batch.filter(pa.array([x < threshold for x in p], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = fit(docs, labels, id_fold("doc_id", _FOLDS) != _HELD_OUT)
