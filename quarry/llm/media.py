@@ -251,8 +251,10 @@ def read_store(store: DataFrame, keep_payload: bool = False) -> DataFrame:
     narrow = ["k1", "k2", "kinds", "lengths", "digests"]
     shared = store.where("shares").select(*narrow, "body").mapInArrow(explode(SHARED), "digest binary, bytes binary")
     wanted = store.where("refers").select(*narrow).mapInArrow(explode(REFERENCE), "digest binary, k1 long, k2 long, seq int")
-    # rows that repeat id and text own equal chunks twice
-    parts = wanted.hint("merge").join(shared.dropDuplicates(["digest"]), "digest")
+    # rows that repeat id and text own equal chunks twice; written, so that the
+    # join below has nothing under it that would keep a hot digest in one task
+    shared = materialize(shared.dropDuplicates(["digest"]), "shared")
+    parts = wanted.hint("merge").join(shared, "digest")
     parts = parts.groupBy("k1", "k2").agg(F.collect_list(F.struct("seq", "bytes")).alias("parts"))
     whole = ["doc_id", "n_bytes", "kinds", "lengths", "digests", "body"]
     direct = store.where("not refers").select(whole).mapInArrow(assemble, schema)
