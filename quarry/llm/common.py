@@ -9,6 +9,9 @@ columns with numpy, so no Python string is made per word.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -245,6 +248,15 @@ def bounded_sample(docs: DataFrame, labelled: DataFrame, per_label: int, max_byt
     return table.sort_by([("h", "ascending"), ("doc_id", "ascending")]).combine_chunks(), totals
 
 
+def release_memory() -> None:
+    """Gives what a fit has freed back to the system, so that one driver can fit
+    a model after another."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # ------------------------------------------------------------- bounded filters
 
 #: Bits of the filter that is sent to every worker: 4 MB, whatever the data.

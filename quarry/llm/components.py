@@ -30,18 +30,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
 
 
+def _state(edges: DataFrame) -> tuple:
+    """A count and a checksum; stars that point at their smallest id stay as they are."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id of the edges (a, b): the smallest id that it
     reaches.  Edges from a node to itself are ignored but keep their node."""
     nodes = edges.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
-    now = materialize(edges.where("a != b").select("a", "b").distinct(), "edges")
-    state = None
+    now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    state = _state(now)
     for _ in range(MAX_ROUNDS):
         large = _large_star(now).where("a != b").distinct()
         after = materialize(_small_star(large).where("a != b").distinct(), "edges")
         discard(now)
         now = after
-        seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        seen = _state(now)
         if seen == state:
             break
         state = seen

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_sample, fit_logistic, id_fold, mix64, text_slices
+from quarry.llm.common import bounded_sample, fit_logistic, id_fold, mix64, release_memory, text_slices
 
 #: The sample to fit on: rows of each language, bytes of text and languages in all.
 SAMPLE_ROWS = 800
@@ -211,7 +211,9 @@ class LanguageModel:
 def fit(docs: DataFrame, train, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> LanguageModel:
     """``train``: which rows of docs to learn from (a Column over doc_id)."""
     labelled = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").alias("label"))
-    return LanguageModel(bounded_sample(docs, labelled, sample_rows, sample_bytes, MAX_LANGUAGES)[0])
+    model = LanguageModel(bounded_sample(docs, labelled, sample_rows, sample_bytes, MAX_LANGUAGES)[0])
+    release_memory()
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -36,7 +36,7 @@ from quarry.llm.common import byte_view, discard, filter_column, key_filter, mat
 from quarry.llm.components import connected_components
 
 BANDS, ROWS = 20, 4
-ROUNDS = ((0, 2), (2, 6), (6, BANDS))
+ROUNDS = ((0, 3), (3, BANDS))
 #: Bytes of shingle sets in a tile of a bucket.
 TILE_BYTES = 4 << 20
 _MUL = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     wanted = leaders.join(ids, "id", "left_semi")
     sets = materialize(_sets(docs, wanted.select("id", "d1", "n", "sig"), width), "sets")
 
-    component, edges = None, None
+    component = None
     for first, last in ROUNDS:
         m = members.where((F.col("band") >= first) & (F.col("band") < last))
         if component is None:
@@ -234,8 +234,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         m = m.join(sets.select("id", "sig", "set"), "id")
         units = m.repartition("bucket", "band", "ta", "tb").sortWithinPartitions("bucket", "band", "ta", "tb", "id")
         new = materialize(_links(units, percent), "links")
-        edges = new if edges is None else edges.unionByName(new)
-        component = materialize(connected_components(edges), "components")
+        if component is not None:  # what is joined already goes on as stars
+            new = new.unionByName(component.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        component = materialize(connected_components(new), "components")
 
     of_leader = leaders.select("d1", "d2", "n", "id").join(component, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n", "d1", "d2").join(of_leader.hint("merge"), ["d1", "d2", "n"], "left")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_sample, byte_view, fit_logistic, id_fold, mix64, shingle_hashes, span_hashes, text_slices, words
+from quarry.llm.common import bounded_sample, byte_view, fit_logistic, id_fold, mix64, release_memory, shingle_hashes, span_hashes, text_slices, words
 
 #: The sample to fit on: rows of each label, and bytes of text in all.
 SAMPLE_ROWS = 2500
@@ -149,7 +149,9 @@ class QualityModel:
 def fit(docs: DataFrame, labels: DataFrame, train, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> QualityModel:
     """``train``: which rows of labels to learn from (a Column over doc_id)."""
     labelled = labels.where(train).select("doc_id", F.col("quality").alias("label")).where(F.col("label").isin(0, 1))
-    return QualityModel(*bounded_sample(docs, labelled, sample_rows, sample_bytes, 2))
+    model = QualityModel(*bounded_sample(docs, labelled, sample_rows, sample_bytes, 2))
+    release_memory()
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NOT_ALNUM, bounded_sample, byte_view, fit_logistic, id_fold, span_hashes, text_slices, words
+from quarry.llm.common import NOT_ALNUM, bounded_sample, byte_view, fit_logistic, id_fold, release_memory, span_hashes, text_slices, words
 
 #: The sample to fit on: rows of each label, and bytes of text in all.
 SAMPLE_ROWS = 3000
@@ -158,7 +158,9 @@ class ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, train, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
     """``train``: which rows of labels to learn from (a Column over doc_id)."""
     labelled = labels.where(train).select("doc_id", F.col("toxic").alias("label")).where(F.col("label").isin(0, 1))
-    return ToxicityModel(*bounded_sample(docs, labelled, sample_rows, sample_bytes, 2))
+    model = ToxicityModel(*bounded_sample(docs, labelled, sample_rows, sample_bytes, 2))
+    release_memory()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
