@@ -22,7 +22,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 _own_dirs: dict[str, str] = {}
 
@@ -216,36 +215,54 @@ NOT_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x
 # ------------------------------------------------------------- bounded samples
 
 
+def _fitting(sizes: np.ndarray, per_label: int, share: int) -> np.ndarray:
+    """Which of a label's rows, in hash order, to take: a row that doesn't fit in
+    what is left of the share is stepped over; if none fits, the smallest."""
+    out, left = [], share
+    for k, b in enumerate(sizes.tolist()):
+        if b <= left:
+            out.append(k)
+            left -= b
+            if len(out) == per_label:
+                break
+    return np.array(out or [int(sizes.argmin())], np.int64)
+
+
 def bounded_sample(docs: DataFrame, labelled: DataFrame, per_label: int, max_bytes: int, max_labels: int) -> tuple[pa.Table, dict]:
     """Whole texts of labelled rows to fit a model on, and the rows of each label.
 
-    ``labelled`` has doc_id and label.  Of each label the ``per_label`` rows with
-    the smallest hash of their id are taken, fewer where their texts would exceed
-    an equal share of ``max_bytes``; so the sample is the same on every run and
+    ``labelled`` has doc_id and label, and text where the labels are the rows' own;
+    else a label goes to one text of its doc_id.  Of each label the ``per_label``
+    rows with the smallest hash are taken, but for those that would exceed an equal
+    share of ``max_bytes``, which are stepped over; a label with no text in its
+    share has its smallest candidate.  So the sample is the same on every run and
     has a size that doesn't grow with the data.  Only counts are over all rows.
     """
-    totals = {r.label: r.n for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(max_labels + 1).collect()}
-    if len(totals) > max_labels:
+    own = "text" in labelled.columns
+    labelled = labelled.where(F.col("text" if own else "doc_id").isNotNull())
+    labelled = labelled.withColumn("h", F.xxhash64("doc_id", "text") if own else F.xxhash64("doc_id"))
+    counts = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("d")).limit(max_labels + 1).collect()
+    if len(counts) > max_labels:
         raise ValueError(f"more than {max_labels} labels")
-    h = F.xxhash64("doc_id").alias("h")
-    best = Window.partitionBy("label").orderBy("h", "doc_id")
-    # twice the rows wanted, by hash, before any are ranked: no task sorts a whole label
+    # twice the rows wanted, by hash, so that some can be stepped over
     near = F.lit(False)
-    for label, n in totals.items():
-        cut = min(1.0, 2 * per_label / n + 1000 / n)
+    for label, _, distinct in counts:
+        cut = min(1.0, (2 * per_label + 1000) / max(1, distinct))
         near = near | ((F.col("label") == label) & (F.col("h") <= int(-(2**63) + cut * (2**64 - 1) if cut < 1 else 2**63 - 1)))
-    ids = labelled.where(F.col("doc_id").isNotNull()).select("doc_id", "label", h).where(near).withColumn("r", F.row_number().over(best)).where(F.col("r") <= per_label).drop("r")
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    picked = texts.join(F.broadcast(ids), "doc_id")
-    sizes = picked.select("label", "h", F.octet_length("text").alias("b")).toPandas().sort_values(["label", "h"])
-    share = max_bytes // max(1, len(totals))
-    sizes["upto"] = sizes.groupby("label")["b"].cumsum()
-    fits = sizes[sizes["upto"] <= share].groupby("label")["h"].max()
-    kept = F.lit(False)
-    for label, last in fits.items():
-        kept = kept | ((F.col("label") == label) & (F.col("h") <= int(last)))
-    table = picked.where(kept).select("doc_id", "label", "h", "text").toArrow()
-    return table.sort_by([("h", "ascending"), ("doc_id", "ascending")]).combine_chunks(), totals
+    rows = labelled.where(near)
+    if not own:
+        texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+        rows = texts.join(F.broadcast(rows.dropDuplicates(["doc_id", "label"])), "doc_id")
+    rows = rows.select("doc_id", "label", "h", F.xxhash64("text").alias("t"), "text")
+    # one row of those that share a hash
+    sizes = rows.groupBy("label", "h").agg(F.min(F.struct("t", F.octet_length("text").alias("b"))).alias("x")).select("label", "h", "x.t", "x.b")
+    sizes = sizes.toPandas().sort_values(["label", "h"])
+    share = max_bytes // max(1, len(counts))
+    chosen = [g.iloc[_fitting(g["b"].to_numpy(), per_label, share)] for _, g in sizes.groupby("label")]
+    picked = [(x.label, int(x.h), int(x.t)) for g in chosen for x in g.itertuples()]
+    keys = docs.sparkSession.createDataFrame(picked, rows.select("label", "h", "t").schema)
+    table = rows.join(F.broadcast(keys), ["label", "h", "t"]).dropDuplicates(["label", "h", "t"]).select("doc_id", "label", "h", "text").toArrow()
+    return table.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("label", "ascending")]).combine_chunks(), {r.label: r.n for r in counts}
 
 
 def release_memory() -> None:

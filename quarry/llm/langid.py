@@ -210,7 +210,7 @@ class LanguageModel:
 
 def fit(docs: DataFrame, train, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> LanguageModel:
     """``train``: which rows of docs to learn from (a Column over doc_id)."""
-    labelled = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").alias("label"))
+    labelled = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").alias("label"), "text")
     model = LanguageModel(bounded_sample(docs, labelled, sample_rows, sample_bytes, MAX_LANGUAGES)[0])
     release_memory()
     return model

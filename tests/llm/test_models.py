@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import langid, quality, toxicity
-from quarry.llm.common import id_fold
+from quarry.llm.common import bounded_sample, id_fold
 
 SF = "/root/testdata/sf0.1"
 
@@ -93,3 +93,18 @@ def test_codes_keep_texts_apart():
     alone = [langid.codes([t], table)[0] for t in ("ab", "", "  ", "b-a")]
     assert [both[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [x.tolist() for x in alone]
     assert langid.codes([" ab. "], table)[0].tolist() == alone[0].tolist()
+
+
+def test_a_huge_text_leaves_its_label_the_rest(spark):
+    rows = [(i, "de" if i % 2 else "en", f"text {i} " * 20) for i in range(200)]
+    first = spark.createDataFrame(rows, "doc_id long, lang string, text string").where("lang = 'de'").orderBy(F.xxhash64("doc_id")).first().doc_id
+    rows = [(i, x, "z" * 300_000 if i == first else t) for i, x, t in rows] + [(7, "de", "another text of id 7"), (999, "fr", "y" * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = docs.where("doc_id < 200").select("doc_id", (F.col("lang") == "de").cast("int").alias("label")).distinct()
+    got, totals = bounded_sample(docs, labels, 80, 400_000, 2)
+    label = got.column("label").to_pylist()
+    assert (label.count(0), label.count(1)) == (80, 80) and totals == {0: 100, 1: 100}
+    own = docs.select("doc_id", F.col("lang").alias("label"), "text")
+    got, totals = bounded_sample(docs, own, 800, 400_000, 4)
+    seen = list(zip(got.column("doc_id").to_pylist(), got.column("label").to_pylist(), got.column("text").to_pylist(), strict=True))
+    assert sorted(seen) == sorted((i, x, t) for i, x, t in rows if i != first) and totals == {"de": 101, "en": 100, "fr": 1}
