@@ -8,10 +8,11 @@ the lowest cross-entropy per character; a logistic calibration of the lead over
 the second best, fitted on documents held back from the counts, gives the score
 and the rejection.
 
-Characters are letters in lower case: the ``ALPHABET`` most frequent of the
-sample each have a class, other letters share one, and every run of anything
-else is one boundary.  A worker remembers the probabilities of the n-grams it
-has met, in a table of at most 2**24 slots.
+Characters are letters in lower case: every letter of the sample has a class,
+those it lacks share one, and every run of anything else is one boundary.  Up to
+``ALPHABET`` letters take 6 bits each in an n-gram's code, more take 16.  A
+worker remembers the probabilities of n-grams it has met in a table of at most
+``CACHE_BYTES``.
 
 Defined cases: a null text or one without a letter is `und` with score 0; null
 langs are not learned from; without a training row every text is `und`; with a
@@ -42,30 +43,41 @@ ALPHABET = 62
 DISCOUNT = 0.75
 UNKNOWN = "und"
 REJECT_BELOW = 0.5
+CACHE_BYTES = 64 << 20
 _FOLDS, _HELD_OUT = 4, 2
-_OTHER = ALPHABET + 1
-_BITS = 6
+_WIDE = (1 << 16) - 2
 
 
-def class_table(texts: list[str], alphabet: int = ALPHABET) -> np.ndarray:
-    """The class of every code point: 0 boundary, 1.. frequent letters, then other letters."""
+def class_table(texts: list[str]) -> np.ndarray:
+    """The class of every code point: 0 boundary, 1.. the sample's letters by
+    frequency, then letters that it lacks.  Its type is that of a class: 8 bits
+    for ``ALPHABET`` letters at most, 16 for more; past the 65534 that these hold,
+    letters share the classes of the rarest half, spread over them."""
     seen = Counter("".join(texts).lower())
-    letters = sorted((c for c in seen if c.isalpha()), key=lambda c: (-seen[c], c))[:alphabet]
-    table = np.zeros(0x110000, np.uint8)
+    letters = sorted((c for c in seen if c.isalpha()), key=lambda c: (-seen[c], c))
+    small = len(letters) <= ALPHABET
+    table = np.zeros(0x110000, np.uint8 if small else np.uint16)
     for cp in range(0x110000):
         if unicodedata.category(chr(cp))[0] == "L":
-            table[cp] = _OTHER
+            table[cp] = (ALPHABET if small else _WIDE) + 1
     for k, c in enumerate(letters):
+        k = k if k < _WIDE else _WIDE // 2 + k % (_WIDE // 2)
         table[ord(c)] = k + 1
         for variant in (c.upper(), c.title()):
-            if len(variant) == 1:
+            if len(variant) == 1 and variant.lower() == c:
                 table[ord(variant)] = k + 1
     return table
 
 
+def code_bits(kind: np.dtype) -> int:
+    """Bits of a class in codes of this type."""
+    return 6 if kind == np.uint32 else 16
+
+
 def codes(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ORDER-gram codes of all texts, 6 bits a class, and the n+1 row offsets.
+    """ORDER-gram codes of all texts, 6 or 16 bits a class, and the n+1 row offsets.
     Every text is padded with ORDER-1 boundaries in front and one behind."""
+    kind = np.uint32 if table.dtype == np.uint8 else np.uint64
     lengths = np.array([len(t) for t in texts], np.int64)
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     cls = table[points]
@@ -87,11 +99,11 @@ def codes(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pad = ORDER - 1
     size = np.where(count > 0, count + pad + 1, 0)
     off = np.concatenate([[0], np.cumsum(size)])
-    laid = np.zeros(off[-1], np.uint32)
+    laid = np.zeros(off[-1], kind)
     laid[off[rows] + pad + np.arange(len(cls)) - (np.cumsum(count) - count)[rows]] = cls
     grams = laid.copy()
     for k in range(1, ORDER):
-        grams[k:] |= laid[: len(laid) - k] << np.uint32(_BITS * k)
+        grams[k:] |= laid[: len(laid) - k] << kind(code_bits(kind) * k)
     inside = np.ones(len(laid), bool)
     for k in range(pad):
         inside[(off[:-1] + k)[size > 0]] = False
@@ -100,18 +112,19 @@ def codes(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class KneserNey:
-    """One language's model over n-gram codes."""
+    """One language's model over n-gram codes of ``size`` classes."""
 
-    def __init__(self, grams: np.ndarray):
+    def __init__(self, grams: np.ndarray, size: int = ALPHABET + 2):
+        self.size, self.kind, self.bits = size, grams.dtype.type, code_bits(grams.dtype)
         self.levels = []  # per order: hashes, counts; context hashes, context totals, context types
         found, count = np.unique(grams, return_counts=True)
         for n in range(ORDER, 0, -1):
-            context, at = np.unique(found >> np.uint32(_BITS), return_inverse=True)
+            context, at = np.unique(found >> self.kind(self.bits), return_inverse=True)
             totals = np.bincount(at, count, len(context))
             types = np.bincount(at, minlength=len(context)).astype(float)
             self.levels.append((*self._sorted(found, n, count.astype(float)), *self._sorted(context, n + 100, totals, types)))
             # below: in how many contexts each shorter n-gram was seen
-            found, count = np.unique(found & np.uint32((1 << _BITS * (n - 1)) - 1), return_counts=True)
+            found, count = np.unique(found & self.kind((1 << self.bits * (n - 1)) - 1), return_counts=True)
 
     @staticmethod
     def _hash(code: np.ndarray, salt: int) -> np.ndarray:
@@ -129,12 +142,12 @@ class KneserNey:
 
     def log_prob(self, code: np.ndarray) -> np.ndarray:
         """Natural log of each n-gram's last character given those before it."""
-        p = np.full(len(code), 1.0 / (ALPHABET + 2))
+        p = np.full(len(code), 1.0 / self.size)
         for n, (h, count, ch, totals, types) in zip(range(1, ORDER + 1), reversed(self.levels), strict=True):
-            mine = code & np.uint32((1 << _BITS * n) - 1) if n < 5 else code
+            mine = code & self.kind((1 << self.bits * n) - 1)
             at, hit = self._find(h, self._hash(mine, n))
             c = np.where(hit, count[at], 0.0)
-            at, hit = self._find(ch, self._hash(mine >> np.uint32(_BITS), n + 100))
+            at, hit = self._find(ch, self._hash(mine >> self.kind(self.bits), n + 100))
             total, kinds = np.where(hit, totals[at], 0.0), np.where(hit, types[at], 0.0)
             p = np.where(total > 0, (np.maximum(0, c - DISCOUNT) + DISCOUNT * kinds * p) / np.maximum(1, total), p)
         return np.log(p)
@@ -146,15 +159,16 @@ class LanguageModel:
         label = table.column("label").to_pylist() if table.num_rows else []
         self.langs = sorted(set(label))
         self.a, self.b = 1.0, 0.0
-        self._known = None
+        self._cache = None
         if not self.langs:
             return
         self.table = class_table(texts)
+        self.size = max(ALPHABET + 2, len(np.unique(self.table)))
         held = np.arange(len(texts)) % 5 == 4
         self.models = []
         for lang in self.langs:
             mine = [t for t, x, out in zip(texts, label, held, strict=True) if x == lang and not out] or [t for t, x in zip(texts, label, strict=True) if x == lang]
-            self.models.append(KneserNey(codes(mine, self.table)[0]))
+            self.models.append(KneserNey(codes(mine, self.table)[0], self.size))
         # short cuts beside whole texts, as a lead means less in a short one
         check, truth = [], []
         for t, x in ((t, x) for t, x, out in zip(texts, label, held, strict=True) if out):
@@ -171,7 +185,7 @@ class LanguageModel:
                 self.a, self.b = fit_logistic(lead[use][:, None], y, ridge=0.01)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_known": None}
+        return self.__dict__ | {"_cache": None}
 
     def lead(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The best language's number (-1: no letter) and its lead over the next
@@ -181,22 +195,29 @@ class LanguageModel:
         best, lead = np.full(len(texts), -1), np.zeros(len(texts))
         if not len(grams):
             return best, lead
-        if self._known is None:
-            self._slot = np.full(1 << _BITS * ORDER, -1, np.int32)
-            self._known = np.zeros((0, len(self.models)), np.float32)
-        fresh = np.unique(grams[self._slot[grams] < 0])
-        if len(fresh):
-            self._slot[fresh] = len(self._known) + np.arange(len(fresh), dtype=np.int32)
-            self._known = np.concatenate([self._known, np.column_stack([m.log_prob(fresh) for m in self.models]).astype(np.float32)])
-        slots = self._slot[grams]
+        if self._cache is None:
+            slots = 1 << (CACHE_BYTES // (8 + 4 * len(self.models))).bit_length() - 1
+            # no n-gram has code 0, as boundaries don't follow each other in a text
+            self._cache = np.zeros(slots, np.uint64), np.zeros((slots, len(self.models)), np.float32)
+        keys, known = self._cache
+        slot = (mix64(grams.astype(np.uint64)) & np.uint64(len(keys) - 1)).astype(np.int64)
+        missed = np.flatnonzero(keys[slot] != grams)
+        fresh, first, of_fresh = np.unique(grams[missed], return_index=True, return_inverse=True)
+        logs = np.empty((len(fresh), len(self.models)), np.float32)
         some = n > 0
         cost = np.empty((int(some.sum()), len(self.models)))
-        for k in range(len(self.models)):
-            cost[:, k] = -np.add.reduceat(self._known[slots, k], off[:-1][some], dtype=np.float64) / n[some]
+        for k, m in enumerate(self.models):
+            logs[:, k] = m.log_prob(fresh)
+            p = known[slot, k]
+            p[missed] = logs[of_fresh, k]
+            cost[:, k] = -np.add.reduceat(p, off[:-1][some], dtype=np.float64) / n[some]
+        # of several that want a slot the first stays, so that key and value agree
+        at, first = np.unique(slot[missed[first]], return_index=True)
+        keys[at], known[at] = fresh[first], logs[first]
         order = np.argsort(cost, axis=1, kind="stable")
         at = np.arange(len(cost))
         least = cost[at, order[:, 0]]
-        second = cost[at, order[:, 1]] if len(self.models) > 1 else np.full(len(cost), np.log(ALPHABET + 2))
+        second = cost[at, order[:, 1]] if len(self.models) > 1 else np.full(len(cost), np.log(self.size))
         best[some], lead[some] = order[:, 0], np.maximum(0, second - least) * np.sqrt(n[some])
         return best, lead
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,28 @@ def test_each_language_model_is_a_distribution():
         assert np.exp(model.log_prob(every)).sum() == pytest.approx(1.0, abs=1e-6)
 
 
+def test_languages_of_many_scripts(monkeypatch):
+    """Languages are told apart whose letters aren't the sample's most frequent."""
+    rng = np.random.default_rng(4)
+    kinds = {"en": (0x61, 26), "ru": (0x430, 32), "el": (0x3B1, 16), "zh": (0x4E00, 900), "ja": (0x5400, 900), "ko": (0xAC00, 900), "th": (0xE01, 40), "hi": (0x915, 36), "ne": (0x904, 17)}
+
+    def text(first, n):
+        return " ".join("".join(chr(first + int(n * x)) for x in rng.random(6)) for _ in range(30))
+
+    rows = [(x, text(*kinds[x])) for _ in range(30) for x in kinds]
+    model = langid.LanguageModel(pa.table({"label": [x for x, _ in rows], "text": [t for _, t in rows]}))
+    unseen = [(x, text(*kinds[x])) for _ in range(10) for x in kinds]
+    cold, p = model.predict([t for _, t in unseen])
+    assert cold == [x for x, _ in unseen] and (p > 0.5).all()
+    warm, q = model.predict([t for _, t in unseen])
+    assert warm == cold and (p == q).all()
+    monkeypatch.setattr(langid, "CACHE_BYTES", 1 << 12)
+    model._cache = None
+    for _ in range(2):
+        few, q = model.predict([t for _, t in unseen])
+        assert few == cold and (p == q).all()
+
+
 def test_codes_keep_texts_apart():
     table = langid.class_table(["ab ba"])
     both, off = langid.codes(["ab", "", None or "  ", "b-a"], table)
