@@ -51,15 +51,16 @@ class TextEncoder:
     The vocabulary exists in two forms that give the same ids; the ranked form's
     encoder is five times as fast.  It takes the texts on whose splitting the two
     can't differ - characters up to U+024F without controls and odd blanks - and
-    that hold no run long enough to cost it a quadratic merge; the tokenizer
-    itself takes all others.
+    that hold no added token's text and no run long enough to cost it a quadratic
+    merge; the tokenizer itself, as its file has it, takes all others.
     """
 
     def __init__(self, path: str, ranked_path: str | None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Added tokens' texts, which the tokenizer cuts out before all else.
+        self.literals = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.ranked = None
         if ranked_path:
             import public_tokenizers
@@ -69,8 +70,7 @@ class TextEncoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.ranked = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    @staticmethod
-    def plain(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    def plain(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Which texts the ranked encoder may take."""
         n = len(off) - 1
         out = np.ones(n, bool)
@@ -79,6 +79,13 @@ class TextEncoder:
         odd = _ODD[data]
         odd[1:] |= (data[:-1] == 0xC2) & (data[1:] <= 0xA0)
         out[np.searchsorted(off, np.flatnonzero(odd), "right") - 1] = False
+        raw = data.tobytes()
+        for literal in self.literals:
+            at = raw.find(literal)
+            while at >= 0:
+                k = int(np.searchsorted(off, at, "right"))
+                out[k - 1] = False
+                at = raw.find(literal, int(off[k]))
         starts, ends, word_off = words(data, off)
         row = np.repeat(np.arange(n), np.diff(word_off))
         out[row[ends - starts > LONGEST_RUN]] = False

@@ -86,6 +86,16 @@ def test_both_encoders_agree(texts):
     assert e.encode(pa.array(texts)) == want
 
 
+def test_added_tokens_in_texts():
+    t = Tokenizer.from_file(PATHS[0])
+    literals = [x.content for x in t.get_added_tokens_decoder().values()]
+    assert literals
+    texts = ["plain", "", *(x for s in literals for x in (s, f"one{s}two", f"{s} é {s}", s[:-1], s + "x" * 500)), "plain", literals[0][:4], literals[0][4:]]
+    e = packing.TextEncoder(*PATHS)
+    assert e.encode(pa.array(texts)) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in texts]
+    assert e.plain(*byte_view(pa.array(["plain", literals[0], "", literals[0][:-1]]))).tolist() == [True, False, True, True]
+
+
 # ------------------------------------------------------------------------- mixing
 
 
