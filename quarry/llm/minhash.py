@@ -2,8 +2,9 @@
 
 1. A scan hashes each text's distinct word shingles, takes ``BANDS * ROWS``
    universal hash minima and a 128-bit digest of the set.
-2. Documents with equal sets become one class, led by its smallest id; only
-   leaders go on, so exact copies cost an aggregation.
+2. Documents with equal sets become one class, led by its smallest doc_id and
+   numbered, as classes may share a doc_id; only leaders go on, under their
+   class's number, so exact copies cost an aggregation.
 3. Leaders that share a band's minima share a bucket.  Bands are worked through
    in rounds: only buckets that still hold several components take part, and
    within one only pairs of different components are compared - first by
@@ -11,7 +12,8 @@
    shingle sets.  A bucket is split into tiles by its bytes, and every pair of
    tiles is a task's unit, so no group is held whole; it yields the links that
    join components (a forest), not its pairs.
-4. Components come from alternating large-star and small-star.
+4. Components come from alternating large-star and small-star, and are named by
+   the smallest doc_id of their classes.
 
 Every linked pair shares a band but for a chance of (1 - t^4)^20: 4e-7 at 0.85.
 
@@ -105,7 +107,7 @@ def _bands(leaders: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """id, set (sorted 64-bit hashes) of the leaders in ``ids``."""
-    known = docs.sparkSession.sparkContext.broadcast(key_filter(ids, "id"))
+    known = docs.sparkSession.sparkContext.broadcast(key_filter(ids, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
@@ -118,12 +120,12 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 sums[some] = np.add.reduceat(mix64(value), off[:-1][some])
                 raw = value.tobytes()
                 cols = [pa.array(sums.view(np.int64)), pa.array([raw[8 * a : 8 * b] for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["id", "d1", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "d1", "set"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), filter_column("doc_id").alias("bit"))
-    found = rows.mapInArrow(run, "id long, d1 long, set binary").hint("merge")
+    found = rows.mapInArrow(run, "doc_id long, d1 long, set binary").hint("merge")
     # d1 tells apart the texts of a repeated id
-    return found.join(ids, ["id", "d1"]).dropDuplicates(["id", "d1"])
+    return found.join(ids, ["doc_id", "d1"]).dropDuplicates(["doc_id", "d1"])
 
 
 def link_bucket(ids: np.ndarray, label: np.ndarray, tile: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], band: int, percent: int, crossing: bool) -> list[tuple[int, int]]:
@@ -203,15 +205,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     spark = docs.sparkSession
     signed = materialize(_signed(docs, width), "signed")
     sets_ = signed.where("n > 0 and doc_id is not null")
-    leaders = sets_.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig"))
-    leaders = materialize(leaders, "leaders")
+    leaders = sets_.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by("sig", "doc_id").alias("sig"))
+    # the numbers hold as they are written
+    leaders = materialize(leaders.withColumn("id", F.monotonically_increasing_id()), "leaders")
     banded = materialize(_bands(leaders), "bands")
     crowded = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "bucket")
     members = materialize(banded.join(crowded, ["band", "bucket"]), "members")
     discard(banded)
     ids = members.select("id").distinct()
     wanted = leaders.join(ids, "id", "left_semi")
-    sets = materialize(_sets(docs, wanted.select("id", "d1", "n", "sig"), width), "sets")
+    sets = materialize(_sets(docs, wanted.select("id", "doc_id", "d1", "n", "sig"), width), "sets")
 
     component = None
     for first, last in ROUNDS:
@@ -238,7 +241,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             new = new.unionByName(component.select(F.col("id").alias("a"), F.col("component").alias("b")))
         component = materialize(connected_components(new), "components")
 
-    of_leader = leaders.select("d1", "d2", "n", "id").join(component, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component"))
+    least = component.join(leaders.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("least"))
+    least = materialize(least, "least")
+    named = component.join(least.hint("merge"), "component").select("id", F.col("least").alias("component"))
+    of_leader = leaders.select("d1", "d2", "n", "id", "doc_id").join(named, "id", "left").select("d1", "d2", "n", F.coalesce("component", "doc_id").alias("component"))
     out = signed.select("doc_id", "n", "d1", "d2").join(of_leader.hint("merge"), ["d1", "d2", "n"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

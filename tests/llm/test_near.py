@@ -58,6 +58,16 @@ def test_odd_rows_and_the_dedup_stage(odd, clashing, empty):
     assert sorted(map(str, ids)) == sorted(map(str, [1, 2, 3, 4, 5, None, None, 7, 9, 10, 11, 11]))
 
 
+def test_a_repeated_id_with_texts_of_different_groups(spark):
+    a, b = ([f"{x}{k}" for k in range(60)] for x in "ab")
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (3, " ".join([*a, "end"])), (9, " ".join([*b, "end"])), (5, " ".join([*b[:30], *a[:30]])), (5, "alone here it is")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 3, 85)
+    assert sorted(x[2] for x in want) == [3, 3, 5, 5, 7, 7]
+    same(minhash.near_duplicates(df, 3, 85).collect(), want)
+    assert rows[1] in [tuple(r) for r in minhash.deduplicate(df, 3, 85).collect()]
+
+
 def test_a_large_group_in_tiles(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = [f"w{k}" for k in range(60)]
