@@ -1,3 +1,4 @@
+import math
 import re
 
 import numpy as np
@@ -85,6 +86,19 @@ def test_a_large_group_in_tiles(spark, monkeypatch):
     same(minhash.near_duplicates(df, 3, 85).collect(), want)
 
 
+def test_the_signature_floor_adds_little_to_the_bands_miss():
+    for t in (0.8, 0.85):
+        floor = minhash.signature_floor(t)
+        tail = sum(math.comb(80, m) * t**m * (1 - t) ** (80 - m) for m in range(floor))
+        assert 0 < tail < (1 - t**4) ** 20 / 100
+    # 53 equal minima of 80, under the former floor, and a band in common
+    sig = np.arange(160, dtype=np.uint32).reshape(2, 80)
+    sig[1, :53] = sig[0, :53]
+    sets = [np.arange(100, dtype=np.uint64), np.arange(92, dtype=np.uint64)]
+    zeros = np.zeros(2, int)
+    assert minhash.link_bucket(np.array([1, 2]), np.array([1, 2]), zeros, sig, sets, 0, 85, False) == [(1, 2)]
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(k, k + 1) for k in range(100, 130)]
     edges = spark.createDataFrame([*path, *((7, k) for k in range(50, 90)), (3, 3)], "a long, b long")
