@@ -140,3 +140,31 @@ def test_vectors_against_brute_force(spark):
         assert sorted(got, key=key) == sorted(want, key=key)
     embeddings.TILE = 2048
     assert embeddings.near_vectors(df.limit(0)).count() == 0
+
+
+def test_recall_with_production_tables(spark):
+    """Vectors whose links lie about the threshold, in tables of more than 4 bits."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((600, 48))
+    near = base[rng.integers(0, 600, 3400)]
+    near = near + rng.uniform(0.2, 0.45, (len(near), 1)) * rng.standard_normal(near.shape)
+    x = np.vstack([base, near]).astype(np.float32)
+    assert embeddings.plan_tables(len(x), bucket=64)[0] > 4
+    df = spark.createDataFrame([(k, 1, v) for k, v in enumerate(x.tolist())], "vec_id long, label int, embedding array<float>")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(1) - 1
+    assert 500 < want.sum()
+    old, embeddings.plan_tables.__defaults__ = embeddings.plan_tables.__defaults__, (0.93, 64, 1e-5)
+    try:
+        got = {r.vec_id: r.n_links for r in embeddings.near_vectors(df).collect()}
+    finally:
+        embeddings.plan_tables.__defaults__ = old
+    got = np.array([got[k] for k in range(len(x))])
+    assert (got <= want).all() and got.sum() / want.sum() > 0.999
+
+
+def test_the_sketch_loses_little_of_the_allowed_miss():
+    p, limit = math.acos(0.93) / math.pi, embeddings.sketch_limit()
+    tail = sum(math.comb(128, d) * p**d * (1 - p) ** (128 - d) for d in range(limit + 1, 129))
+    bits, tables = embeddings.plan_tables(10**6)
+    assert tail <= embeddings.MISS / 10 and (1 - (1 - p) ** bits) ** tables + tail <= embeddings.MISS
