@@ -15,7 +15,7 @@ import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,16 +80,17 @@ _LOWER[0x41:0x5B] += 0x20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that are hashed at a time, and so the length of the power tables.
+_HASH_BYTES = 1 << 21
+_powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
-        for k, base in enumerate((_BASE, _INVERSE)):
-            full = np.full(size, np.uint64(base))
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    if not _powers:
+        for base in (_BASE, _INVERSE):
+            full = np.full(_HASH_BYTES + 1, np.uint64(base))
             full[0] = 1
-            _powers[k] = np.cumprod(full)
+            _powers.append(np.cumprod(full))
     return _powers[0], _powers[1]
 
 
@@ -170,13 +171,32 @@ def words(data: np.ndarray, off: np.ndarray, separators: np.ndarray = _SEP) -> t
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, by one prefix sum over all of them."""
-    power, inverse = _power_tables(len(data) + 1)
-    codes = (_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(codes * power[: len(data)], out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * inverse[starts]
-    return mix64(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+    """A 64-bit hash of each span of bytes, by prefix sums over a stretch of spans
+    at a time; spans come in order and don't overlap, and may be of any length."""
+    power, inverse = _power_tables()
+    out, at = np.zeros(len(starts), np.uint64), 0
+
+    def prefix(begin: int, end: int) -> np.ndarray:
+        part = data[begin:end]
+        codes = (_LOWER[part] if lower else part).astype(np.uint64) + np.uint64(1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(codes * power[: len(part)], out=sums[1:])
+        return sums
+
+    while at < len(starts):
+        begin = int(starts[at])
+        upto = int(np.searchsorted(ends, begin + _HASH_BYTES, "right"))
+        if upto > at:
+            sums = prefix(begin, int(ends[upto - 1]))
+            a, b = starts[at:upto] - begin, ends[at:upto] - begin
+            out[at:upto] = (sums[b] - sums[a]) * inverse[a]
+        else:  # one span, longer than a stretch
+            upto, total = at + 1, 0
+            for k in range(begin, int(ends[at]), _HASH_BYTES):
+                total += int(prefix(k, min(k + _HASH_BYTES, int(ends[at])))[-1]) * pow(_BASE, k - begin, 1 << 64)
+            out[at] = total & 0xFFFFFFFFFFFFFFFF
+        at = upto
+    return mix64(out ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
 
 
 def shingle_hashes(h: np.ndarray, word_off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,6 +227,37 @@ def shingle_hashes(h: np.ndarray, word_off: np.ndarray, width: int) -> tuple[np.
     return value, np.searchsorted(rows, np.arange(len(counts) + 1))
 
 
+def units(batches: Iterator[pa.RecordBatch], key: tuple[str, ...], work: Callable[[pa.Table], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
+    """What ``work`` makes of each run of two or more rows with equal keys; rows
+    come sorted by them, and no more than a run and a batch are held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(c).to_numpy() for c in key]
+        edge = (np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1).tolist()
+        if held and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in key):
+            edge = [0, *edge]
+        at = 0
+        for e in edge:
+            held.append(batch.slice(at, e - at))
+            run = pa.Table.from_batches(held)
+            if run.num_rows > 1 and (out := work(run)) is not None:
+                yield out
+            held, at = [], e
+        held.append(batch.slice(at))
+    if held:
+        run = pa.Table.from_batches(held)
+        if run.num_rows > 1 and (out := work(run)) is not None:
+            yield out
+
+
+def binary_rows(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column's rows as numbers of a kind, concatenated, and their n+1 offsets."""
+    raw, off = byte_view(column)
+    return np.frombuffer(raw.tobytes(), kind), off // np.dtype(kind).itemsize
+
+
 #: All bytes but ASCII letters and digits and those of longer UTF-8 sequences.
 NOT_ALNUM = np.ones(256, bool)
 NOT_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False

@@ -26,14 +26,14 @@ vectors; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, materialize, mix64
+from quarry.llm.common import materialize, mix64, units
 from quarry.llm.components import connected_components
 
 THRESHOLD = 0.93
@@ -137,28 +137,6 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), off - off[0]
 
 
-def _units(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
-    """Calls ``work`` on each run of rows with the same bucket, ta and tb; rows
-    come sorted by them, and no more than a unit and a batch are held."""
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = pa.Table.from_batches([batch])
-        held = now if held is None else pa.concat_tables([held, now])
-        cols = [held.column(c).to_numpy() for c in ("bucket", "ta", "tb")]
-        if all(c[0] == c[-1] for c in cols):
-            continue
-        edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-        edge = [0, *edge.tolist()]
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            if b - a > 1 and (out := work(held.slice(a, b - a))) is not None:
-                yield out
-        held = held.slice(edge[-1])
-    if held is not None and held.num_rows > 1 and (out := work(held)) is not None:
-        yield out
-
-
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept, one row per row of vectors."""
     kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
@@ -240,9 +218,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     m = m.withColumn("tile", F.pmod(F.xxhash64("id"), tiles).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), tiles - 1)))
     m = m.select("id", "t", "bucket", "s0", "s1", "tile", F.least("tile", "with").alias("ta"), F.greatest("tile", "with").alias("tb"))
     m = m.repartition("bucket", "ta", "tb").sortWithinPartitions("bucket", "ta", "tb")
-    near = materialize(m.mapInArrow(lambda b: _units(b, propose), "id long, t int, bucket long, ta int, tb int, tile int"), "near")
+    near = materialize(m.mapInArrow(lambda b: units(b, ("bucket", "ta", "tb"), propose), "id long, t int, bucket long, ta int, tb int, tile int"), "near")
     near = near.join(classes.select("id", "count", "x").hint("merge"), "id").repartition("bucket", "ta", "tb").sortWithinPartitions("bucket", "ta", "tb", "id")
-    found = materialize(near.mapInArrow(lambda b: _units(b, confirm), "a long, b long, links long"), "links")
+    found = materialize(near.mapInArrow(lambda b: units(b, ("bucket", "ta", "tb"), confirm), "a long, b long, links long"), "links")
     component = connected_components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     c = classes.select("h1", "h2", "id", "least", "count").join(links, "id", "left").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))

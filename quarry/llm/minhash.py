@@ -7,11 +7,12 @@
    class's number, so exact copies cost an aggregation.
 3. Leaders that share a band's minima share a bucket.  Bands are worked through
    in rounds: only buckets that still hold several components take part, and
-   within one only pairs of different components are compared - first by
-   signature (a floor that loses less than a hundredth of what the bands do),
-   then on the full shingle sets.  A bucket is split into tiles by its bytes, and every pair of
-   tiles is a task's unit, so no group is held whole; it yields the links that
-   join components (a forest), not its pairs.
+   within one only pairs of different components are compared.  Signatures go to
+   the buckets first (a floor loses less than a hundredth of what the bands do);
+   leaders with a likely partner then fetch their full shingle sets, on which
+   links are confirmed.  A bucket is split into tiles by rows and by bytes, and
+   every pair of tiles is a task's unit, so no group is held whole; it yields
+   the links that join components (a forest), not its pairs.
 4. Components come from alternating large-star and small-star, and are named by
    the smallest doc_id of their classes.
 
@@ -36,13 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import byte_view, discard, filter_column, key_filter, materialize, mix64, passes, shingle_hashes, span_hashes, text_slices, words
+from quarry.llm.common import binary_rows, byte_view, discard, filter_column, key_filter, materialize, mix64, passes, shingle_hashes, span_hashes, text_slices, units, words
 from quarry.llm.components import connected_components
 
 BANDS, ROWS = 20, 4
 ROUNDS = ((0, 3), (3, BANDS))
-#: Bytes of shingle sets in a tile of a bucket.
+#: Bytes of shingle sets, and rows, in a tile of a bucket.
 TILE_BYTES = 4 << 20
+TILE_ROWS = 512
 _MUL = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix64(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64))
 
@@ -141,6 +143,26 @@ def signature_floor(t: float) -> int:
     return k
 
 
+def likely(label: np.ndarray, tile: np.ndarray, n: np.ndarray, sig: np.ndarray, band: int, percent: int, crossing: bool) -> np.ndarray:
+    """Which members of a bucket (or of two of its tiles) have a partner there of
+    another component, met first in this band and plausible by size and signature."""
+    floor, found = signature_floor(percent / 100), np.zeros(len(n), bool)
+    for begin in range(0, len(n), 32):
+        mine = slice(begin, begin + 32)
+        fit = (label[mine, None] != label[None]) & (100 * np.minimum(n[mine, None], n[None]) >= percent * np.maximum(n[mine, None], n[None]))
+        if crossing:
+            fit &= tile[mine, None] != tile[None]
+        i, j = np.nonzero(fit)
+        i = i + begin
+        i, j = i[j > i], j[j > i]
+        for at in range(0, len(i), 1 << 14):
+            a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            same = sig[a] == sig[b]
+            good = (same.sum(1) >= floor) & (same.reshape(len(a), BANDS, ROWS).all(2).argmax(1) == band)
+            found[a[good]] = found[b[good]] = True
+    return found
+
+
 def link_bucket(ids: np.ndarray, label: np.ndarray, tile: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], band: int, percent: int, crossing: bool) -> list[tuple[int, int]]:
     """Links that join different components among one bucket's (or two of its
     tiles') members: pairs that meet first in this band, plausible by signature,
@@ -180,35 +202,36 @@ def link_bucket(ids: np.ndarray, label: np.ndarray, tile: np.ndarray, sig: np.nd
     return out
 
 
-def _links(rows: DataFrame, percent: int) -> DataFrame:
-    """Links of the buckets' tiles; rows come sorted so that a unit's are together."""
+_UNIT = ("bucket", "band", "ta", "tb")
+_LIKELY = "id long, component long, bucket long, band int, ta int, tb int, tile int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        unit = None
-        found: list[tuple[int, int]] = []
 
-        def close() -> None:
-            if len(held) > 1:
-                ids, label, tile = (np.array([r[k] for r in held]) for k in (0, 1, 2))
-                sig = np.frombuffer(b"".join(r[3] for r in held), np.uint32).reshape(len(held), -1)
-                found.extend(link_bucket(ids, label, tile, sig, [np.frombuffer(r[4], np.uint64) for r in held], unit[3], percent, unit[1] != unit[2]))
+def _links(m: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within the buckets' tiles; m has the columns of ``_LIKELY``."""
 
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "ta", "tb", "band", "id", "component", "tile", "sig", "set")]
-            for bucket, ta, tb, band, *row in zip(*cols, strict=True):
-                if (bucket, ta, tb, band) != unit:
-                    close()
-                    held, unit = [], (bucket, ta, tb, band)
-                held.append(tuple(row))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
-                found = []
-        close()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
+    def unit(run: pa.Table) -> tuple:
+        first = {c: run.column(c)[0].as_py() for c in _UNIT}
+        cols = [run.column(c).to_numpy() for c in ("component", "tile")]
+        sig = binary_rows(run.column("sig"), "<u4")[0].reshape(run.num_rows, -1)
+        return *cols, sig, first["band"], first["ta"] != first["tb"]
+
+    def propose(run: pa.Table) -> pa.RecordBatch | None:
+        label, tile, sig, band, crossing = unit(run)
+        found = likely(label, tile, run.column("n").to_numpy(), sig, band, percent, crossing)
+        return run.select([x.split()[0] for x in _LIKELY.split(", ")]).filter(pa.array(found)).combine_chunks().to_batches()[0] if found.any() else None
+
+    def confirm(run: pa.Table) -> pa.RecordBatch | None:
+        label, tile, sig, band, crossing = unit(run)
+        value, off = binary_rows(run.column("set"), "<u8")
+        found = link_bucket(run.column("id").to_numpy(), label, tile, sig, [value[a:b] for a, b in zip(off[:-1], off[1:], strict=True)], band, percent, crossing)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"]) if found else None
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*_UNIT).sortWithinPartitions(*_UNIT, "id")
+
+    rows = dealt(m.join(sets.select("id", "n", "sig"), "id"))
+    near = materialize(rows.mapInArrow(lambda b: units(b, _UNIT, propose), _LIKELY), "likely")
+    return dealt(near.join(sets.select("id", "sig", "set").hint("merge"), "id")).mapInArrow(lambda b: units(b, _UNIT, confirm), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -222,6 +245,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     leaders = materialize(leaders.withColumn("id", F.monotonically_increasing_id()), "leaders")
     banded = materialize(_bands(leaders), "bands")
     crowded = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "bucket")
+    crowded = materialize(crowded, "crowded")
     members = materialize(banded.join(crowded, ["band", "bucket"]), "members")
     discard(banded)
     ids = members.select("id").distinct()
@@ -238,17 +262,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         m = m.join(sets.select("id", "n"), "id")
         open_ = (
             m.groupBy("band", "bucket")
-            .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("n").alias("size"))
+            .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("c"))
             .where("lo != hi")
-            .select("band", "bucket", F.ceil(F.col("size") * 8 / TILE_BYTES).cast("int").alias("tiles"))
+            .select("band", "bucket", F.ceil(F.greatest(F.col("size") * 8 / TILE_BYTES, F.col("c") / TILE_ROWS)).cast("int").alias("tiles"))
         )
+        # written, so that the join with a crowded bucket can be split
+        open_ = materialize(open_, "open")
         m = m.drop("n").join(open_, ["band", "bucket"])
         tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
         m = m.withColumn("tile", tile).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         m = m.withColumns({"ta": F.least("tile", "with"), "tb": F.greatest("tile", "with")}).drop("with", "tiles")
-        m = m.join(sets.select("id", "sig", "set"), "id")
-        units = m.repartition("bucket", "band", "ta", "tb").sortWithinPartitions("bucket", "band", "ta", "tb", "id")
-        new = materialize(_links(units, percent), "links")
+        new = materialize(_links(m, sets, percent), "links")
         if component is not None:  # what is joined already goes on as stars
             new = new.unionByName(component.select(F.col("id").alias("a"), F.col("component").alias("b")))
         component = materialize(connected_components(new), "components")
@@ -296,3 +320,25 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
 def op3_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=85)
+
+
+def near_sql(width: int, percent: int) -> str:
+    """``near_duplicates`` of documents in SQL: all pairs that share a shingle."""
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(w[i : i + {width - 1}], ' '))) END AS g FROM d
+), shingle AS (SELECT r, len(g) AS n, unnest(g) AS x FROM s WHERE doc_id IS NOT NULL), link AS (
+  SELECT a.r AS a, b.r AS b FROM shingle a JOIN shingle b ON a.x = b.x AND a.r <> b.r
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))
+), reach AS (
+  SELECT r AS a, r AS b FROM s UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), comp AS (SELECT reach.a AS r, min(s.doc_id) AS component_id FROM reach JOIN s ON s.r = reach.b GROUP BY reach.a)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM s JOIN comp USING (r)
+"""
+
+
+OP3_SQL = near_sql(3, 85)

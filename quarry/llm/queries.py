@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_minhash": minhash.OP3_SQL,
     "op8_embeddings": embeddings.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
 }

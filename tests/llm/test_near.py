@@ -2,6 +2,7 @@ import math
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import components, embeddings, minhash
@@ -49,6 +50,18 @@ def test_against_brute_force(spark):
     same(minhash.op3_minhash(spark, SF).collect(), brute(docs, 3, 85))
 
 
+@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
+def test_against_sql(spark, width, percent):
+    import duckdb
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.read.parquet(path), width, percent).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM read_parquet('{path}')")
+    want = {r[0]: r[1:] for r in con.execute(minhash.near_sql(width, percent)).fetchall()}
+    assert got == want and sum(not x[2] for x in want.values()) > 10
+
+
 def test_odd_rows_and_the_dedup_stage(odd, clashing, empty):
     docs = [tuple(r) for r in odd.select("doc_id", "text").collect()]
     same(minhash.near_duplicates(clashing, 3, 85).collect(), brute(docs, 3, 85))
@@ -84,6 +97,8 @@ def test_a_large_group_in_tiles(spark, monkeypatch):
     same(minhash.near_duplicates(df, 3, 85).collect(), want)
     monkeypatch.setattr(minhash, "TILE_BYTES", 4096)
     same(minhash.near_duplicates(df, 3, 85).collect(), want)
+    monkeypatch.setattr(minhash, "TILE_ROWS", 7)
+    same(minhash.near_duplicates(df, 3, 85).collect(), want)
 
 
 def test_the_signature_floor_adds_little_to_the_bands_miss():
