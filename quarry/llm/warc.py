@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import filter_column, key_filter, materialize, passes
 
 REVISIT_MIN = 100
 SEGMENT_BYTES = 16 << 10
@@ -41,9 +41,10 @@ _PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def assign_types(pages: DataFrame, revisit_min: int = REVISIT_MIN) -> DataFrame:
     """(page_id, url, html, digest, refers_to): which page each record refers to.
 
-    Only groups that occur more than once are joined back, and the group sizes
-    are aggregated before the shuffle, so a hot payload costs one row per task;
-    the join's hot key is split by adaptive execution.
+    Group sizes are aggregated before the shuffle, so a hot payload costs one row
+    per task.  The repeated groups are written, so that the join with a hot digest
+    can be split, and a filter of fixed size (4 MB) over them lets the rows whose
+    payload occurs once pass without a join.
     """
     p = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -57,9 +58,23 @@ def assign_types(pages: DataFrame, revisit_min: int = REVISIT_MIN) -> DataFrame:
         .where("n > 1")
         .select("digest", "first_id")
     )
-    joined = p.join(groups, "digest", "left")
+    groups = materialize(groups.withColumn("key", F.xxhash64("digest")), "groups")
+    known = pages.sparkSession.sparkContext.broadcast(key_filter(groups, "key"))
+
+    def part(inside: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                met = passes(known.value, batch.column("bit").to_numpy())
+                yield batch.filter(pa.array(met if inside else ~met)).drop_columns(["bit"])
+
+        return run
+
+    marked = p.withColumn("key", F.xxhash64("digest")).withColumn("bit", filter_column("key")).drop("key")
+    alone, met = (marked.mapInArrow(part(inside), p.schema) for inside in (False, True))
+    joined = met.hint("merge").join(groups.select("digest", "first_id"), "digest", "left")
     # <=> so that a null page id is not mistaken for the group's first
-    return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("first_id")
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
+    return alone.withColumn("refers_to", F.lit(None).cast("long")).unionByName(joined.withColumn("refers_to", refers).drop("first_id"))
 
 
 def _chunked(body: bytes, frame: int) -> bytes:
