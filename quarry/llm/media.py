@@ -109,19 +109,22 @@ def chunk_list(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "k1 long, k2 long, doc_id long, seq int, digest binary")
 
 
-_STORE = "doc_id long, k1 long, k2 long, n_bytes long, refers boolean, shares boolean, kinds binary, lengths binary, digests binary, body binary"
+_STORE = "doc_id long, k1 long, k2 long, refers boolean, shares boolean, kinds binary, head binary, body binary"
 _STORE_NAMES = [x.split()[0] for x in _STORE.split(", ")]
 
 
 def write_store(docs: DataFrame) -> DataFrame:
-    """The deduplicated store: per document the ordered chunk list (kinds,
-    lengths, digests) and the bytes of the chunks that it owns."""
+    """The deduplicated store: per document the kinds of its chunks, the head of
+    its media (which holds the ordered chunk list) and the bytes that it owns."""
     chunks = materialize(chunk_list(docs), "chunks")
     here = F.struct("k1", "k2", "seq")
     # the shuffle gets a row per task and digest; a digest that occurs once ends here
     shared = chunks.groupBy("digest").agg(F.min(here).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "owner")
-    marks = chunks.join(shared, "digest").select("k1", "k2", "doc_id", "seq", F.when(F.col("owner") == here, SHARED).otherwise(REFERENCE).alias("kind"))
-    marks = marks.groupBy("k1", "k2", "doc_id").agg(F.collect_list(F.struct("seq", "kind")).alias("marks"))
+    # written, so that the join with a hot digest can be split
+    shared = materialize(shared, "shared")
+    marks = chunks.join(shared.hint("merge"), "digest").select("k1", "k2", "doc_id", "seq", F.when(F.col("owner") == here, SHARED).otherwise(REFERENCE).alias("kind"))
+    # a set: rows that repeat id and text have the same marks
+    marks = marks.groupBy("k1", "k2", "doc_id").agg(F.collect_set(F.struct("seq", "kind")).alias("marks"))
     marks = materialize(marks, "marks")
     known = docs.sparkSession.sparkContext.broadcast(key_filter(marks, "doc_id"))
 
@@ -130,8 +133,8 @@ def write_store(docs: DataFrame) -> DataFrame:
         data, off = payloads(raw, raw_off)
         ends, view = cuts(data, off), memoryview(data)
         marked = batch.column("marks").to_pylist() if "marks" in batch.schema.names else [None] * batch.num_rows
-        kinds, lengths, digests, bodies, refers, shares = [], [], [], [], [], []
-        for a, own, mark in zip(off[:-1].tolist(), ends, marked, strict=True):
+        kinds, heads, bodies, refers, shares = [], [], [], [], []
+        for a, b, n, own, mark in zip(off[:-1].tolist(), off[1:].tolist(), np.diff(raw_off).tolist(), ends, marked, strict=True):
             kind = bytearray(len(own))
             for m in mark or ():
                 kind[m["seq"]] = m["kind"]
@@ -144,13 +147,12 @@ def write_store(docs: DataFrame) -> DataFrame:
                     body.append(part)
                 begin = e
             kinds.append(bytes(kind))
-            lengths.append(struct.pack(f"<{len(size)}I", *size))
-            digests.append(b"".join(dig))
+            heads.append(media_head(n, b - a, size, dig))
             bodies.append(b"".join(body))
             refers.append(REFERENCE in kind)
             shares.append(SHARED in kind)
-        cols = [batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(np.diff(raw_off)), pa.array(refers), pa.array(shares)]
-        return pa.RecordBatch.from_arrays([*cols, *(pa.array(x, pa.binary()) for x in (kinds, lengths, digests, bodies))], _STORE_NAMES)
+        cols = [batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(refers), pa.array(shares)]
+        return pa.RecordBatch.from_arrays([*cols, *(pa.array(x, pa.binary()) for x in (kinds, heads, bodies))], _STORE_NAMES)
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
@@ -169,8 +171,8 @@ def write_store(docs: DataFrame) -> DataFrame:
     rows = _keyed(docs).withColumn("bit", filter_column("doc_id"))
     met = rows.mapInArrow(candidates, "doc_id long, text string, k1 long, k2 long").hint("merge").join(marks.select("k1", "k2", "marks"), ["k1", "k2"], "left")
     store = materialize(rows.mapInArrow(alone, _STORE).unionByName(met.mapInArrow(together, _STORE)), "media")
-    discard(chunks)
-    discard(marks)
+    for done in (chunks, shared, marks):
+        discard(done)
     return store
 
 
@@ -187,9 +189,21 @@ def feature(samples: np.ndarray) -> str:
     return f"mean={mean:.4f};dev={max(0.0, var) ** 0.5:.4f};entropy={float(-(p * np.log2(p)).sum()):.4f};flat={same:.4f}"
 
 
-def media_header(n_bytes: int, payload_bytes: int, lengths: bytes, digests: bytes) -> bytes:
-    """The stored form is this header and then the samples."""
-    return b"CDM1" + struct.pack("<BQQI", 8, n_bytes, payload_bytes, len(lengths) // 4) + lengths + digests
+def media_head(n_bytes: int, payload_bytes: int, lengths: list[int], digests: list[bytes]) -> bytes:
+    """What stands before the samples in a medium: magic, bits a sample, sizes,
+    and the ordered list of chunk lengths and digests."""
+    return b"CDM1" + struct.pack(f"<BQQI{len(lengths)}I", 8, n_bytes, payload_bytes, len(lengths), *lengths) + b"".join(digests)
+
+
+def read_head(head: bytes) -> tuple[int, tuple[int, ...], list[bytes]]:
+    """n_bytes, chunk lengths and digests; ValueError if it isn't such a head."""
+    if head[:5] != b"CDM1\x08":
+        raise ValueError("not a medium of 8-bit samples")
+    n_bytes, payload_bytes, n = struct.unpack_from("<QQI", head, 5)
+    lengths, at = struct.unpack_from(f"<{n}I", head, 25), 25 + 4 * n
+    if len(head) != at + 32 * n or sum(lengths) != payload_bytes:
+        raise ValueError("chunk list doesn't fit its sizes")
+    return n_bytes, lengths, [head[k : k + 32] for k in range(at, len(head), 32)]
 
 
 _READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int, verified boolean"
@@ -209,20 +223,20 @@ def read_store(store: DataFrame, keep_payload: bool = False) -> DataFrame:
                 rows = []
                 for r in batch.slice(begin, 256).to_pylist():
                     got = {p["seq"]: p["bytes"] for p in r["parts"] or ()} if with_refs else {}
-                    size = struct.unpack(f"<{len(r['kinds'])}I", r["lengths"])
+                    n_bytes, size, digests = read_head(r["head"])
                     at, parts, ok = 0, [], True
-                    for k, (kind, n) in enumerate(zip(r["kinds"], size, strict=True)):
+                    for k, (kind, n, digest) in enumerate(zip(r["kinds"], size, digests, strict=True)):
                         if kind == REFERENCE:
                             part = got.get(k, b"")
                         else:
                             part, at = r["body"][at : at + n], at + n
-                        ok = ok and hashlib.sha256(part).digest() == r["digests"][32 * k : 32 * k + 32]
+                        ok = ok and hashlib.sha256(part).digest() == digest
                         parts.append(part)
                     payload = b"".join(parts)
-                    head = media_header(r["n_bytes"], len(payload), r["lengths"], r["digests"])
-                    whole = hashlib.sha256(head)
+                    # the stored medium: the head as it was read, and the samples
+                    whole = hashlib.sha256(r["head"])
                     whole.update(payload)
-                    row = (r["doc_id"], r["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(head) + len(payload), whole.hexdigest(), feature(np.frombuffer(payload, np.uint8)), len(size), ok)
+                    row = (r["doc_id"], n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(r["head"]) + len(payload), whole.hexdigest(), feature(np.frombuffer(payload, np.uint8)), len(size), ok)
                     rows.append((*row, payload) if keep_payload else row)
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(types)], names)
 
@@ -232,12 +246,13 @@ def read_store(store: DataFrame, keep_payload: bool = False) -> DataFrame:
                 k1, k2, seq, dig, part = [], [], [], [], []
                 for r in batch.to_pylist():
                     at = 0
-                    for k, (kind, n) in enumerate(zip(r["kinds"], struct.unpack(f"<{len(r['kinds'])}I", r["lengths"]), strict=True)):
+                    _, size, digests = read_head(r["head"])
+                    for k, (kind, n, digest) in enumerate(zip(r["kinds"], size, digests, strict=True)):
                         if kind == want:
                             k1.append(r["k1"])
                             k2.append(r["k2"])
                             seq.append(k)
-                            dig.append(r["digests"][32 * k : 32 * k + 32])
+                            dig.append(digest)
                             part.append(r["body"][at : at + n] if want == SHARED else None)
                         at += n if kind != REFERENCE else 0
                 cols = [pa.array(dig, pa.binary())]
@@ -248,15 +263,15 @@ def read_store(store: DataFrame, keep_payload: bool = False) -> DataFrame:
 
         return run
 
-    narrow = ["k1", "k2", "kinds", "lengths", "digests"]
+    narrow = ["k1", "k2", "kinds", "head"]
     shared = store.where("shares").select(*narrow, "body").mapInArrow(explode(SHARED), "digest binary, bytes binary")
     wanted = store.where("refers").select(*narrow).mapInArrow(explode(REFERENCE), "digest binary, k1 long, k2 long, seq int")
     # rows that repeat id and text own equal chunks twice; written, so that the
     # join below has nothing under it that would keep a hot digest in one task
     shared = materialize(shared.dropDuplicates(["digest"]), "shared")
-    parts = wanted.hint("merge").join(shared, "digest")
+    parts = wanted.dropDuplicates(["k1", "k2", "seq"]).hint("merge").join(shared, "digest")
     parts = parts.groupBy("k1", "k2").agg(F.collect_list(F.struct("seq", "bytes")).alias("parts"))
-    whole = ["doc_id", "n_bytes", "kinds", "lengths", "digests", "body"]
+    whole = ["doc_id", "kinds", "head", "body"]
     direct = store.where("not refers").select(whole).mapInArrow(assemble, schema)
     rebuilt = store.where("refers").select("k1", "k2", *whole).join(parts.hint("merge"), ["k1", "k2"], "left").select(*whole, "parts").mapInArrow(assemble, schema)
     return direct.unionByName(rebuilt)

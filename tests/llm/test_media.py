@@ -63,3 +63,20 @@ def test_a_cut_depends_on_content_alone():
         data = np.frombuffer(lead + body, np.uint8)
         ends.append({e - len(lead) for e in media.cuts(data, np.array([0, len(data)]))[0]})
     assert len(ends[0] & ends[1]) > 0.8 * len(ends[0])
+
+
+def test_rows_that_repeat_id_and_text_stay_linear(spark):
+    body = " ".join(f"word{k * k % 9973}" for k in range(3000))
+    rows = [(1, body)] * 300 + [(2, "first " + body)] * 300 + [(None, body)] * 5
+    store = media.write_store(spark.createDataFrame(rows, "doc_id long, text string"))
+    check(rows, media.read_store(store).collect())
+
+
+def test_what_is_hashed_is_what_is_stored(spark):
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    store = media.write_store(docs)
+    heads = {r.doc_id: (bytes(r.head), bytes(r.body)) for r in store.collect()}
+    for r in media.read_store(store).collect():
+        medium = b"".join(heads[r.doc_id])
+        assert (r.media_bytes, r.media_sha256) == (len(medium), hashlib.sha256(medium).hexdigest())
+        assert media.read_head(heads[r.doc_id][0])[0] == r.n_bytes
