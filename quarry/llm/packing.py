@@ -1,6 +1,6 @@
 """Mixture-controlled packing of documents into fixed token windows.
 
-Documents are tokenized once into a table, dealt by a hash of their id into
+Documents are tokenized once into a table, dealt by a hash of id and ids into
 shards of about ``SHARD_TOKENS`` tokens, and each shard's sources are queues that
 a deficit round-robin serves: every window credits each source with its target
 share, a turn serves a source up to its deficit (and at least ``MIN_PIECE``
@@ -37,7 +37,9 @@ MIN_PIECE = 256
 SHARD_TOKENS = 1 << 20
 TOKENIZER = "byte_bpe_50k.json"
 RANKED = "byte_bpe_50k.tiktoken"
+#: The table of sources is in every task's closure, so its size is checked.
 MAX_SOURCES = 200_000
+GROUP_SHARDS = 1024
 #: Bytes of the longest word or blank run that the ranked encoder takes.
 LONGEST_RUN = 400
 #: Bytes that end the ranked encoder's part: controls, and leads beyond U+024F.
@@ -186,34 +188,41 @@ def pack(docs: DataFrame, tokenizer_path: str, ranked_path: str | None = None, t
         return spark.createDataFrame([], _PIECES + (", ids binary" if with_ids else ""))
     shards = max(1, -(-all_tokens // shard_tokens))
     n_sources = len(totals)
-    sharded = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    # by content too, so that rows which repeat an id or have none are dealt out
+    sharded = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)))
 
-    # what came before each shard, in all and by source; a row per shard and source
-    held = sharded.groupBy("shard", "source").agg(F.sum("n_tokens").alias("n"))
+    # what came before each shard: a row per shard and source in it, and one per
+    # shard for all sources (src -1); sums run within groups of shards, then over
+    # the groups, so that no task walks all shards
     names = spark.createDataFrame([(k, s) for s, k in number.items()], "src int, source string")
-    grid = spark.range(shards).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(n_sources - 1))).alias("src"))
+    held = sharded.groupBy("shard", "source").agg(F.sum("n_tokens").alias("n"))
     held = held.join(F.broadcast(names), held["source"].eqNullSafe(names["source"])).select("shard", "src", "n")
-    earlier = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    plan = (
-        grid.join(held, ["shard", "src"], "left")
-        .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .groupBy("shard")
-        .agg(F.sum("before").alias("base"), F.sort_array(F.collect_list(F.struct("src", "before"))).alias("served"))
-    )
+    held = held.unionByName(held.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", F.lit(-1).alias("src"), "n"))
+    held = held.withColumn("group", F.floor(F.col("shard") / GROUP_SHARDS))
+    over = Window.partitionBy("src").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = held.groupBy("src", "group").agg(F.sum("n").alias("n")).select("src", "group", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("earlier"))
+    inside = Window.partitionBy("src", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(groups, ["src", "group"])
+    plan = before.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("src", (F.col("earlier") + F.col("within")).alias("before")))).alias("served"))
+    plan = plan.select(F.col("shard").alias("at"), "served")
 
     def place(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0:
             return pa.table({c: pa.array([], t) for c, t in zip(out_names, out_types, strict=True)})
-        left = left.sort_by([("doc_id", "ascending"), ("n_tokens", "ascending")]).combine_chunks()
-        row = right.to_pylist()[0]
-        served = np.zeros(n_sources)
-        for x in row["served"]:
-            served[x["src"]] = x["before"]
+        # ties in order of content: equal rows are alike, so any of them comes first
+        left = left.append_column("crc", pa.array([zlib.crc32(x.as_buffer()) for x in left.column("ids")], pa.int64()))
+        left = left.sort_by([("doc_id", "ascending"), ("n_tokens", "ascending"), ("crc", "ascending"), ("ids", "ascending")]).combine_chunks()
+        served, base = np.zeros(n_sources), 0
+        for x in right.to_pylist()[0]["served"]:
+            if x["src"] < 0:
+                base = x["before"]
+            else:  # of sources that the shard hasn't, nothing is served here
+                served[x["src"]] = x["before"]
         src = np.array([number[s] for s in left.column("source").to_pylist()])
         n = left.column("n_tokens").to_numpy()
         raw, off = byte_view(left.column("ids"))
         ids = np.frombuffer(raw.tobytes(), "<u2")
-        doc, start, length, pos = round_robin(src, n, share, row["base"], served, window, min_piece)
+        doc, start, length, pos = round_robin(src, n, share, base, served, window, min_piece)
         first = off[doc] // 2 + start
         parts = [ids[a : a + m].astype("<u4").tobytes() for a, m in zip(first, length, strict=True)]
         crc = np.fromiter(map(zlib.crc32, parts), np.int64, len(parts))
@@ -223,7 +232,7 @@ def pack(docs: DataFrame, tokenizer_path: str, ranked_path: str | None = None, t
     schema = _PIECES + (", ids binary" if with_ids else "")
     out_names = [x.split()[0] for x in schema.split(", ")]
     out_types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
-    return sharded.groupBy("shard").cogroup(plan.groupBy("shard")).applyInArrow(place, schema)
+    return sharded.groupBy("shard").cogroup(plan.groupBy("at")).applyInArrow(place, schema)
 
 
 def op7_packing(spark, sf_dir: str, tokenizer_path: str | None = None, ranked_path: str | None = None) -> DataFrame:
