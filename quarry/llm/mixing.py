@@ -8,7 +8,8 @@ slots meet blocks in a join by index.
 The draws are multinomial counts per shard given the totals that the targets
 ask for: a binary tree over the shards splits the totals hypergeometrically
 (what independent draws become once their sums are known), each node seeded by
-its own range.  So a shard finds its counts, and where its slots start in each
+its own range.  Trees span ``STRATUM_SHARDS`` shards, among which the totals are
+dealt in proportion, so counts stay in the range that is drawn exactly.  So a shard finds its counts, and where its slots start in each
 source, alone, in a logarithmic number of steps and without a driver loop, and
 every source takes its target to within a block.
 
@@ -37,7 +38,11 @@ SEED = 20240
 #: The table of sources goes to the driver and into the tasks' closures, so its
 #: size is checked: this many rows at most.
 MAX_SOURCES = 200_000
+#: Shards of a tree: 2**17 of 4096 slots are 2**29, under the 10**9 up to which
+#: hypergeometric draws are exact.
+STRATUM_SHARDS = 1 << 17
 _BUCKET_ROWS = 512
+_GROUP_BUCKETS = 1024
 
 
 def count_words(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
@@ -89,32 +94,31 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _left_part(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    """How many of n slots drawn without replacement fall to each source."""
-    if counts.sum() < 900_000_000:
-        return rng.multivariate_hypergeometric(counts, n, method="marginals")
-    out, rest, want = np.zeros_like(counts), int(counts.sum()), n
-    for k, c in enumerate(counts):  # numpy stops at 1e9: its normal limit beyond
-        c = int(c)
-        if rest == c:
-            got = want
-        else:
-            mean = want * (c / rest)
-            sd = (mean * (1 - c / rest) * max(0, rest - want) / max(1, rest - 1)) ** 0.5
-            got = round(mean + sd * rng.standard_normal())
-        got = max(0, want - (rest - c), min(c, want, got))
-        out[k], rest, want = got, rest - c, want - got
+def strata_counts(totals: np.ndarray, slots: int) -> list[np.ndarray]:
+    """The totals in equal stretches of ``slots`` slots (the last may be shorter):
+    each gets its share of what is left, by largest remainder."""
+    left, out = totals.astype(np.int64), []
+    while left.sum():
+        n = min(slots, int(left.sum()))
+        exact = [int(x) * n for x in left]
+        whole = int(left.sum())
+        here = np.array([x // whole for x in exact], np.int64)
+        order = sorted(range(len(exact)), key=lambda k: (-(exact[k] % whole), k))
+        here[order[: n - int(here.sum())]] += 1
+        out.append(here)
+        left = left - here
     return out
 
 
-def shard_counts(totals: np.ndarray, shard: int, per_shard: int = SHARD_SLOTS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+def shard_counts(totals: np.ndarray, shard: int, per_shard: int = SHARD_SLOTS, seed: int = SEED, stratum: int = STRATUM_SHARDS) -> tuple[np.ndarray, np.ndarray]:
     """(slots of each source before this shard, slots of each source in it)."""
-    total = int(totals.sum())
-    lo, hi = 0, -(-total // per_shard)
-    before, here = np.zeros_like(totals), totals.astype(np.int64)
+    strata = strata_counts(totals, stratum * per_shard)
+    before, here = sum(strata[: shard // stratum], np.zeros(len(totals), np.int64)), strata[shard // stratum]
+    lo = shard // stratum * stratum
+    hi = lo + -(-int(here.sum()) // per_shard)
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        left = _left_part(here, (mid - lo) * per_shard, np.random.default_rng([seed, lo, hi]))
+        left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(here, (mid - lo) * per_shard, method="marginals")
         if shard < mid:
             here, hi = left, mid
         else:
@@ -128,7 +132,9 @@ class Mix:
     def __init__(self, docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[float, ...] = (1, 2, 3), seed: int = SEED, per_shard: int = SHARD_SLOTS, extra: dict | None = None):
         self.spark, self.block_words, self.seed, self.per_shard = docs.sparkSession, block_words, seed, per_shard
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *(c.alias(k) for k, c in (extra or {}).items()), F.col("text").cast("string").alias("text"))
-        sized = materialize(count_words(rows, keep=("doc_id", "source", *(extra or {}))), "sizes")
+        # rows that repeat an id or have none are told apart, and dealt out, by content
+        rows = rows.withColumn("content", F.xxhash64("doc_id", "text"))
+        sized = materialize(count_words(rows, keep=("doc_id", "source", "content", *(extra or {}))), "sizes")
         got = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
         if len(got) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -143,16 +149,19 @@ class Mix:
 
     def _positions(self, sized: DataFrame) -> DataFrame:
         """Where each document starts among its source's words: sums within
-        buckets of a source, then sums over the buckets, so that no task holds a
-        whole source."""
+        buckets of a source, within groups of buckets, and over the groups, so
+        that no task holds a whole source."""
         d = sized.join(F.broadcast(self.sources), sized["source"].eqNullSafe(self.sources["source"])).drop(self.sources["source"])
-        d = d.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.col("buckets")))
-        inside = Window.partitionBy("src", "bucket").orderBy("doc_id", "size")
+        d = d.withColumn("bucket", F.pmod("content", F.col("buckets")))
+        inside = Window.partitionBy("src", "bucket").orderBy("doc_id", "size", "content")
         d = d.withColumn("within", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-        sums = d.groupBy("src", "bucket").agg(F.sum("size").alias("held"))
-        over = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-        sums = sums.select("src", "bucket", (F.sum("held").over(over) - F.col("held")).alias("before"))
-        return d.join(sums, ["src", "bucket"]).withColumn("start", F.col("before") + F.col("within")).drop("bucket", "buckets", "before", "within")
+        sums = d.groupBy("src", "bucket").agg(F.sum("size").alias("held")).withColumn("group", F.floor(F.col("bucket") / _GROUP_BUCKETS))
+        upto = (Window.unboundedPreceding, -1)
+        groups = sums.groupBy("src", "group").agg(F.sum("held").alias("held"))
+        groups = groups.select("src", "group", F.coalesce(F.sum("held").over(Window.partitionBy("src").orderBy("group").rowsBetween(*upto)), F.lit(0)).alias("earlier"))
+        sums = sums.withColumn("before", F.coalesce(F.sum("held").over(Window.partitionBy("src", "group").orderBy("bucket").rowsBetween(*upto)), F.lit(0)))
+        sums = sums.join(groups, ["src", "group"]).select("src", "bucket", (F.col("before") + F.col("earlier")).alias("before"))
+        return d.join(sums, ["src", "bucket"]).withColumn("start", F.col("before") + F.col("within")).drop("bucket", "buckets", "before", "within", "content")
 
     @property
     def pieces(self) -> DataFrame:
@@ -220,19 +229,26 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tu
     A document is known by doc_id and text; rows that repeat both must have been
     merged before, as near-duplicate removal does.
     """
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), F.xxhash64("text").alias("_text")]
-    plan = Mix(docs, block_words, weights, seed, extra={"_text": F.xxhash64("text")})
+    columns, taken_names = docs.columns, {c.lower() for c in docs.columns}
+
+    def fresh(name: str) -> str:
+        while name.lower() in taken_names:
+            name += "_"
+        return name
+
+    id_, text_, runs_as = fresh("mix_id"), fresh("mix_text"), fresh("mix_runs")
+    plan = Mix(docs, block_words, weights, seed, extra={"text_hash": F.xxhash64("text")})
     runs = plan.pieces.where("block is not null").hint("merge").join(plan.slots.hint("merge"), ["src", "block"])
-    runs = runs.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_id"), "_text", "epoch").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_runs"))
-    columns = docs.columns
-    joined = docs.select("*", *key).hint("merge").join(runs, ["_id", "_text"]).select(*columns, "_runs")
+    runs = runs.groupBy(F.coalesce("doc_id", F.lit(-1)).alias(id_), F.col("text_hash").alias(text_), "epoch").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias(runs_as))
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias(id_), F.xxhash64("text").alias(text_)]
+    joined = docs.select("*", *key).hint("merge").join(runs.drop("epoch"), [id_, text_]).select(*columns, runs_as)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             data, off = byte_view(batch.column("text"))
             starts, ends, word_off = words(data, off)
             texts = []
-            for k, runs_ in enumerate(batch.column("_runs").to_pylist()):
+            for k, runs_ in enumerate(batch.column(runs_as).to_pylist()):
                 begin, have, parts = int(word_off[k]), int(word_off[k + 1] - word_off[k]), []
                 if sum(r["n_words"] for r in runs_) == have:
                     texts.append(data[off[k] : off[k + 1]].tobytes().decode())

@@ -38,7 +38,7 @@ def odd(spark):
 def clashing(odd):
     from pyspark.sql import functions as F
 
-    names = ["score", "label", "id", "n", "size", "block", "bit", "component", "held", "h", "shard", "ids"]
+    names = ["score", "label", "id", "n", "size", "block", "bit", "component", "held", "h", "shard", "ids", "_id", "_text", "_runs", "epoch", "mix_id", "src", "start", "content", "marks", "seq", "digest", "key"]
     return odd.withColumns({c: F.lit("clash") for c in names})
 
 

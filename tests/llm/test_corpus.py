@@ -23,7 +23,6 @@ PATHS = public_tokenizers.path(packing.TOKENIZER), public_tokenizers.path(packin
 
 def check_packing(docs, rows):
     t = Tokenizer.from_file(PATHS[0])
-    t.encode_special_tokens = True
     want = Counter()
     for i, text in docs:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
@@ -62,6 +61,27 @@ def test_packing_odd_rows(odd, clashing, empty):
     assert packing.pack(empty, *PATHS).count() == 0
 
 
+def test_reruns_agree_on_rows_that_share_an_id_or_have_none(spark, monkeypatch):
+    """Many rows share an id or have none, and tie in size; their order on arrival
+    must not matter."""
+    rows = [(None if k % 3 else 7, f"text number {k:04d} of its source", "ab"[k % 2]) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(packing, "GROUP_SHARDS", 3)
+    first, again = (packing.pack(df.repartition(n), *PATHS, shard_tokens=500).collect() for n in (2, 5))
+    assert sorted(map(str, first)) == sorted(map(str, again))
+    at = sorted((r.sequence_id * 2048 + r.offset, r.length) for r in first)
+    assert [a for a, _ in at] == np.cumsum([0, *(n for _, n in at[:-1])]).tolist()
+    monkeypatch.setattr(mixing, "_BUCKET_ROWS", 20)
+    monkeypatch.setattr(mixing, "_GROUP_BUCKETS", 4)
+    plan = mixing.Mix(df.repartition(3))
+    places = sorted((r.source, r.start, r.size) for r in plan.documents.collect())
+    for source in "ab":
+        own = [x[1:] for x in places if x[0] == source]
+        assert [a for a, _ in own] == np.cumsum([0, *(n for _, n in own[:-1])]).tolist()
+    one, two = (sorted(map(str, mixing.Mix(df.repartition(n)).taken().collect())) for n in (2, 5))
+    assert one == two
+
+
 def test_windows_keep_proportions():
     rng = np.random.default_rng(0)
     src, tokens = rng.integers(0, 3, 600), rng.integers(1, 900, 600)
@@ -112,12 +132,13 @@ def test_permutation(n, key):
     assert sorted(mixing.permute(np.arange(n), n, key).tolist()) == list(range(n))
 
 
-def test_shards_add_up():
+@pytest.mark.parametrize("stratum", [4, 1 << 17])
+def test_shards_add_up(stratum):
     totals = np.array([1000, 0, 377, 5, 9000])
     shards = -(-int(totals.sum()) // 100)
     at = np.zeros(5, int)
     for k in range(shards):
-        before, here = mixing.shard_counts(totals, k, per_shard=100)
+        before, here = mixing.shard_counts(totals, k, per_shard=100, stratum=stratum)
         assert (before == at).all() and here.sum() == min(100, totals.sum() - 100 * k)
         at = at + here
     assert (at == totals).all()
