@@ -1,5 +1,6 @@
-"""Path functions as column expressions.  Nothing here touches a file system:
-absolute paths are an input requirement, relative ones give null."""
+"""Path functions as column expressions.  Nothing here touches a file system: a
+relative path is made absolute by the working directory it is given with, by
+components alone, and is null without one."""
 
 from __future__ import annotations
 
@@ -31,6 +32,19 @@ def _components(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda c: ~c.isin("", "."))
 
 
+def absolute(path: Column, folder: Column) -> Column:
+    """The path from the root, below an absolute folder if it is relative, with
+    `.`, `..` and empty components resolved; `..` of the root is the root.  Links
+    aren't followed.  Null for a relative path without an absolute folder."""
+    whole = F.when(is_absolute(path), path).when(is_absolute(folder), F.concat(folder, F.lit("/"), path))
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, c: Column) -> Column:
+        return F.when(c == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(c)))
+
+    return F.concat(F.when(whole.isNotNull(), "/"), F.array_join(F.aggregate(_components(whole), none, step), "/"))
+
+
 def file_name(path: Column) -> Column:
     """The last component; null where that is `..` or there is none."""
     last = F.try_element_at(_components(path), F.lit(-1))

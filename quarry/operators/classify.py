@@ -56,17 +56,18 @@ def with_actions(commands: DataFrame, objects: DataFrame | None = None) -> DataF
     acted = commands.withColumn("actions", actions(F.col("tokens")))
     if objects is None:
         return acted.withColumn("actions", F.transform("actions", lambda a: a.withField("handler", F.coalesce(a["handler"], F.lit("compile_unary")))))
-    tokens = acted.select("cmd_id", "tokens", F.explode("actions").alias("a")).where("a.handler is null")
-    tokens = tokens.select("cmd_id", "a.pos", F.element_at("tokens", F.col("a.pos")).alias("path"))
-    found = tokens.join(objects.select("path", "kind").dropDuplicates(["path"]), "path")
-    found = found.groupBy("cmd_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "kind"))).alias("files"))
+    tokens = acted.select("tokens", F.explode("actions").alias("a")).where("a.handler is null")
+    tokens = tokens.select("tokens", "a.pos", F.element_at("tokens", F.col("a.pos")).alias("path"))
+    found = tokens.join(objects.groupBy("path").agg(F.min("kind").alias("kind")), "path")
+    # by the tokens, not the id: equal commands find the same files, however often they occur
+    found = found.groupBy("tokens").agg(F.map_from_entries(F.collect_set(F.struct("pos", "kind"))).alias("files"))
 
     def settled(a: Column) -> Column:
         kind = F.try_element_at("files", a["pos"])
         said = F.when(kind == "object", "object_file").when(kind == "unparsable", "unparsable_file").otherwise("compile_unary")
         return a.withField("handler", F.coalesce(a["handler"], said))
 
-    return acted.join(found, "cmd_id", "left").withColumn("actions", F.transform("actions", settled)).drop("files")
+    return acted.join(found, "tokens", "left").select(*(acted[c] for c in acted.columns), "files").withColumn("actions", F.transform("actions", settled)).drop("files")
 
 
 def classified_tokens(acted: DataFrame) -> DataFrame:

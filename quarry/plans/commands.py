@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tomllib
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import paths
 from quarry.operators.classify import compile_mode, skip_reason, without_forbidden
-from quarry.plans.rules import LOG_LEVELS
+from quarry.plans.rules import LOG_LEVELS, OPTION_KEYS, UNUSED_KEYS
 
 
 @dataclass
@@ -19,6 +20,9 @@ class Options:
     compiler: dict[str, str] = field(default_factory=lambda: {"Clang": "clang", "ClangXX": "clang++"})
     lto_flags: list[str] = field(default_factory=list)
     bitcode_flags: list[str] = field(default_factory=list)
+    merge_flags: list[str] = field(default_factory=list)
+    linker: str = "llvm-link"
+    archiver: str = "llvm-ar"
     store: str | None = None
     configure_only: bool = False
     log_level: int = 0
@@ -27,12 +31,38 @@ class Options:
         if self.store is not None and not self.store.startswith("/"):
             raise ValueError("the store must be an absolute path")
 
+    @classmethod
+    def from_toml(cls, text: str) -> Options:
+        """Options from a table by the names in ``OPTION_KEYS``; a store that isn't
+        an absolute path is ignored, and other keys and wrong types are refused."""
+        table = tomllib.loads(text)
+        if unknown := set(table) - set(OPTION_KEYS) - UNUSED_KEYS:
+            raise ValueError(f"unknown options: {', '.join(sorted(unknown))}")
+        found: dict = {}
+        for key, (name, kind) in OPTION_KEYS.items():
+            if key not in table:
+                continue
+            value = table[key]
+            fine = isinstance(value, kind) and not (kind is int and isinstance(value, bool))
+            if not fine or (kind is list and not all(isinstance(x, str) for x in value)) or (kind is int and not 0 <= value <= 255):
+                raise ValueError(f"{key} has a wrong type")
+            if name.startswith("compiler."):
+                found.setdefault("compiler", cls().compiler)[name.partition(".")[2]] = value
+            elif name != "store" or value.startswith("/"):
+                found[name] = value
+        return cls(**found)
+
     @property
     def log_name(self) -> str:
         """The level by ordinal, held within the list."""
         return LOG_LEVELS[max(0, min(len(LOG_LEVELS) - 1, self.log_level))]
 
 
+def log_name(level: Column) -> Column:
+    """The name of each row's level by ordinal, held within the list."""
+    return F.get(_strings(LOG_LEVELS), F.greatest(F.lit(0), F.least(level, F.lit(len(LOG_LEVELS) - 1))).cast("int"))
+
+
 def _strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
@@ -44,6 +74,16 @@ def _compiler(options: Options) -> Column:
     return F.array(out)
 
 
+def link_command(files: Column, output: Column, options: Options) -> Column:
+    """Merges files of intermediate code into one."""
+    return F.concat(F.array(F.lit(options.linker)), _strings(options.merge_flags), F.array(F.lit("-o"), output), files)
+
+
+def archive_command(files: Column, output: Column, options: Options) -> Column:
+    """Puts files of intermediate code in one archive."""
+    return F.concat(F.array(F.lit(options.archiver), F.lit("rs"), output), files)
+
+
 def build_command(options: Options) -> Column:
     """The wrapped compilation: all original arguments (link-time flags first
     when only linking) without forbidden ones."""
@@ -51,11 +91,21 @@ def build_command(options: Options) -> Column:
     return without_forbidden(F.concat(_compiler(options), lto, F.col("input_args")), F.col("forbidden_flags"))
 
 
+def _absolute(parsed: DataFrame, path: Column) -> Column:
+    """The path, absolute where ``cwd`` makes it so."""
+    return F.coalesce(paths.absolute(path, F.col("cwd")), path) if "cwd" in parsed.columns else path
+
+
+def _sources(parsed: DataFrame) -> Column:
+    return F.transform("input_files", lambda s: _absolute(parsed, s))
+
+
 def artifacts(parsed: DataFrame, options: Options) -> DataFrame:
     """cmd_id, pos, src_path, object_path, bitcode_path per input file, in order.
-    A relative source has null paths and ``error`` says so."""
+    With a column ``cwd`` in ``parsed``, sources are made absolute; one that can't
+    be has null paths, stays as it is, and ``error`` says so."""
     src = F.col("src_path")
-    rows = parsed.select("cmd_id", "is_compile_only", F.posexplode("input_files").alias("pos", "src_path"))
+    rows = parsed.select("cmd_id", "is_compile_only", F.posexplode(_sources(parsed)).alias("pos", "src_path"))
     store = None if options.store is None else F.lit(options.store)
     return rows.select(
         "cmd_id",
@@ -72,8 +122,10 @@ def command_plan(parsed: DataFrame, options: Options) -> DataFrame:
     each input an object command (when not only compiling), a bitcode command
     (unless it is bitcode), the embedding, and then the link command.
 
-    Steps are numbered from 0 in the order of running.  All of it comes from one
-    row, by building an array and exploding it, so no stage shuffles.
+    Steps are numbered from 0 in the order of running.  A command with a source
+    that isn't absolute and has no ``cwd`` to make it so has, after the build, one
+    step `error` that names those.  All of it comes from one row, by building an
+    array and exploding it, so no stage shuffles.
     """
     store = None if options.store is None else F.lit(options.store)
     cc = _compiler(options)
@@ -89,13 +141,16 @@ def command_plan(parsed: DataFrame, options: Options) -> DataFrame:
         embed = command("embed", F.array(paths.used_bitcode(src, code), obj))
         return F.filter(F.array(F.when(~F.col("is_compile_only"), build), F.when(~is_code, make), embed), lambda x: x.isNotNull())
 
-    objects = F.transform("input_files", lambda s: paths.object_path(s, F.col("is_compile_only")))
+    sources = _sources(parsed)
+    lost = F.filter(sources, lambda s: ~paths.is_absolute(s))
+    objects = F.transform(sources, lambda s: paths.object_path(s, F.col("is_compile_only")))
     lto = F.when(F.col("is_lto"), _strings(options.lto_flags)).otherwise(_strings([]))
-    link = command("link", F.concat(cc, lto, F.col("link_args"), F.array(F.lit("-o"), F.col("output_filename")), objects))
-    inner = F.flatten(F.transform("input_files", steps))
+    link = command("link", F.concat(cc, lto, F.col("link_args"), F.array(F.lit("-o"), _absolute(parsed, F.col("output_filename"))), objects))
+    inner = F.flatten(F.transform(sources, steps))
     # only compiling leaves nothing to link, and without an output there is nowhere to
     links = ~F.col("is_compile_only") & (F.col("output_filename") != "")
     inner = F.concat(inner, F.when(links, F.array(link)).otherwise(F.slice(F.array(link), 1, 0)))
+    inner = F.when(F.size(lost) > 0, F.array(command("error", F.concat(F.array(F.lit("source path is not absolute")), lost)))).otherwise(inner)
     whole = F.concat(F.array(command("build", build_command(options))), F.when(skip_reason(options.configure_only).isNull(), inner).otherwise(F.slice(inner, 1, 0)))
     rows = parsed.where("error is null").select("cmd_id", F.posexplode(whole).alias("step", "c"))
     return rows.select("cmd_id", "step", "c.kind", "c.args")

@@ -109,6 +109,22 @@ ELF_SECTION, MACHO_SECTION = ".llvm_bc", "__llvm_bc"
 #: Log levels by ordinal.
 LOG_LEVELS = ["error", "warn", "info", "debug", "trace"]
 
+#: Names in a table of options, what they set here, and their types.
+OPTION_KEYS = {
+    "clang_filepath": ("compiler.Clang", str),
+    "clangxx_filepath": ("compiler.ClangXX", str),
+    "llvm_ar_filepath": ("archiver", str),
+    "llvm_link_filepath": ("linker", str),
+    "bitcode_store_path": ("store", str),
+    "llvm_link_flags": ("merge_flags", list),
+    "lto_ldflags": ("lto_flags", list),
+    "bitcode_generation_flags": ("bitcode_flags", list),
+    "is_configure_only": ("configure_only", bool),
+    "log_level": ("log_level", int),
+}
+#: Names of tools that no plan here has a use for.
+UNUSED_KEYS = {"llvm_config_filepath", "llvm_objcopy_filepath"}
+
 #: Tool versions that are looked for, from the highest down.
 TOOL_VERSIONS = (33, 6)
 

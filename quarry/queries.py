@@ -15,6 +15,7 @@ from quarry.functions.text import WHITE_SPACE
 from quarry.operators import classify as C
 from quarry.operators import extract as X
 from quarry.plans import commands as K
+from quarry.plans.extraction import extract
 from quarry.plans.rules import EXACT_RULES, GROUP_END, GROUP_START, PATTERNS, SKIP_REASONS, TOOL_VERSIONS
 from quarry.sources import manifest, objects
 
@@ -23,7 +24,7 @@ POOL = (
     "-c -c -o -o /out/app /out/lib.so -E -S -M -MF -MFdep -MD -Wall -Wlocal -w -g -O2 -flto -flto=thin -emit-llvm - --verbose -v "
     "/src/a.c /src/b.cc /src/c.cpp /src/dir/d.c /src/e.s /src/f.S /src/mod.bc /src/g.f90 /dev/null -foo.c /lib/x.o /lib/y.a libz.so.1.2 libz.so.10 libq.dylib.1 "
     "-I -I/inc -D -DX=1 -U -isystem -isystemX --sysroot --sysroot=/r -x -Xclang -Xlinker --param -P -C -L -L/lib -lz -rpath -shared -pthread -m64 -fopenmp "
-    "-fsanitize=cfi -fuse-ld=lld -stdlib=libc++ -std=c11 -dead_strip -Wl,-dead_strip -Wl,-O1 -print-multi-lib -dynamiclib notes.txt @args.rsp "
+    "rel/h.c ../up/i.cc ./j.c -fsanitize=cfi -fuse-ld=lld -stdlib=libc++ -std=c11 -dead_strip -Wl,-dead_strip -Wl,-O1 -print-multi-lib -dynamiclib notes.txt @args.rsp "
     f"{GROUP_START} {GROUP_START} {GROUP_END} {GROUP_END}"
 ).split()
 OPTIONS = K.Options(lto_flags=["-Wl,-plugin"], bitcode_flags=["-Xclang", "-disable-O0-optnone"], store="/store")
@@ -34,7 +35,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cmd_id, tokens, compiler_kind."""
+    """cmd_id, tokens, compiler_kind, cwd."""
     li = _table(spark, sf_dir, "lineitem")
     pool, n = F.array(*map(F.lit, POOL)), len(POOL)
     one = F.get(pool, ((F.col("l_partkey") * 31 + F.col("l_linenumber") * 7) % n).cast("int"))
@@ -42,7 +43,7 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.array(one, two).alias("t"))))
     tokens = F.flatten(F.transform(parts, lambda p: p["t"]))
     kind = F.when(F.col("l_orderkey") % 2 == 0, "Clang").otherwise("ClangXX")
-    return li.groupBy("l_orderkey").agg(tokens.alias("tokens")).select(F.col("l_orderkey").alias("cmd_id"), "tokens", kind.alias("compiler_kind"))
+    return li.groupBy("l_orderkey").agg(tokens.alias("tokens")).select(F.col("l_orderkey").alias("cmd_id"), "tokens", kind.alias("compiler_kind"), F.concat(F.lit("/work/p"), F.col("l_orderkey") % 3).alias("cwd"))
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +76,26 @@ def skip_and_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir).select("cmd_id", C.skip_reason().alias("skip_reason"), C.compile_mode().alias("mode"))
 
 
+def skip_when_configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some commands come from configure runs."""
+    return _parsed(spark, sf_dir).select("cmd_id", C.skip_reason(F.col("cmd_id") % 5 == 0).alias("skip_reason"))
+
+
+def empty_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("a.c"))).otherwise(F.array().cast("array<string>"))
+    df = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cmd_id"), tokens.alias("tokens"))
+    return C.parsed(C.with_actions(df)).select("cmd_id", F.size("input_files").alias("n_inputs"), "error")
+
+
+def log_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select("o_orderkey", K.log_name(F.col("o_orderkey") % 9 - 1).alias("level"))
+
+
+def relative_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of commands that have no working directory."""
+    return K.command_plan(_parsed(spark, sf_dir).drop("cwd"), OPTIONS).where("kind = 'error'").withColumn("args", F.array_join("args", " "))
+
+
 def build_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir).select("cmd_id", F.array_join(K.build_command(OPTIONS), " ").alias("args"))
 
@@ -133,6 +154,32 @@ def object_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.sorted_paths_per_object(texts).select("path", F.posexplode("paths").alias("pos", "line"))
 
 
+def _mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of both formats, archives of one object each, and pages."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    elf = objects.embed(docs.where("doc_id % 3 <> 1")).select("doc_id", "content")
+    macho = objects.embed_macho(docs.where("doc_id % 3 = 1")).select("doc_id", "content")
+    packed = elf.where("doc_id % 3 = 2").withColumn("name", F.concat(F.lit("member_of_"), F.col("doc_id"), F.lit(".o")))
+    packed = objects.archive_of(packed, "doc_id", "doc_id", "name").select(F.col("path").alias("doc_id"), "content")
+    made = elf.where("doc_id % 3 = 0").unionByName(macho).unionByName(packed).select(F.concat(F.lit("/in/"), "doc_id", F.lit(".x")).alias("path"), "content")
+    pages = _table(spark, sf_dir, "pages").select(F.concat(F.lit("/page/"), F.col("page_id"), F.lit(".x")).alias("path"), F.encode("html", "utf-8").alias("content"))
+    return made.unionByName(pages)
+
+
+def extract_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract(_mixed_files(spark, sf_dir), OPTIONS, archive=True, manifest=True)
+    return found.select("path", "format", "output", F.array_join("args", "\n").alias("args"), "manifest_path", "manifest", "error")
+
+
+def sections_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A section is added to objects that have one already."""
+    docs = _table(spark, sf_dir, "documents").select(F.concat(F.lit("/obj/"), F.col("doc_id"), F.lit(".o")).alias("path"), F.concat(F.lit("/code/"), F.col("doc_id"), F.lit(".bc")).alias("line"), "text")
+    first = objects.embed_as(docs, "text", ".notes")
+    added = objects.embed(first, "line")
+    own = objects.section_table(added).select("path", "section_pos", "name", F.when(F.col("name") != ".shstrtab", F.col("size")).alias("size"))
+    return own.join(objects.section_texts(added).select("path", "text"), "path")
+
+
 def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _object_files(spark, sf_dir).select("path", "content")
     bad = _table(spark, sf_dir, "pages").select(F.concat(F.lit("/page/"), F.col("page_id")).alias("path"), F.encode("html", "utf-8").alias("content"))
@@ -164,15 +211,21 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pick_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tools = _table(spark, sf_dir, "part").select(F.concat(F.lit("tool-"), F.col("p_size")).alias("name"), F.col("p_size").alias("version")).where("version % 4 = 1")
+    tools = _table(spark, sf_dir, "part").select(F.concat(F.lit("tool-"), F.col("p_size")).alias("name"), F.col("p_size").alias("version"))
     return X.pick_version(tools, "name", "version", *TOOL_VERSIONS)
 
 
+def pick_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _table(spark, sf_dir, "part").select(F.concat(F.lit("/opt/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))), F.lit("/"), F.col("p_size"), F.lit("/bin/tool")).alias("path"))
+    return X.pick_last(found, "path")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         classify_tokens, classify_with_objects, parse_commands, skip_and_mode, build_commands, artifacts, command_plans, derive_paths,
         extract_lines, extract_paths, distinct_paths, object_sections, file_kinds, archive_members, archive_paths, manifests, pick_tool,
+        pick_last, skip_when_configured, empty_commands, log_names, relative_plans, extract_files, sections_added,
     )
 }
 
@@ -281,8 +334,14 @@ _SPLIT = """
 """
 _OBJECT = "folder || '/' || CASE WHEN compiles THEN name || '.o' ELSE '.' || stem || '.o' END"
 _STORED = "'/store/.' || stem || '.o_' || sha256(src)[:16] || '.bc'"
+#: Where each command's relative sources and outputs are, written out.
+_PLACED = "CASE t WHEN 'rel/h.c' THEN '/work/p' || cmd_id % 3 || '/rel/h.c' WHEN '../up/i.cc' THEN '/work/up/i.cc' WHEN './j.c' THEN '/work/p' || cmd_id % 3 || '/j.c' ELSE t END"
+_OUTPUT = (
+    "CASE WHEN starts_with(output_filename, '/') THEN output_filename WHEN output_filename = '../up/i.cc' THEN '/work/up/i.cc' "
+    "ELSE '/work/p' || cmd_id % 3 || '/' || CASE WHEN starts_with(output_filename, './') THEN substr(output_filename, 3) ELSE output_filename END END"
+)
 _INPUTS = f"""
-, own AS (SELECT act.cmd_id, act.pos AS place, t AS src, is_compile_only AS compiles FROM act JOIN facts USING (cmd_id) WHERE does = 'input_file'),
+, own AS (SELECT act.cmd_id, act.pos AS place, {_PLACED} AS src, is_compile_only AS compiles FROM act JOIN facts USING (cmd_id) WHERE does = 'input_file'),
 input AS ({_SPLIT.format('own')}), made AS (
   SELECT cmd_id, CAST(row_number() OVER (PARTITION BY cmd_id ORDER BY place) - 1 AS INTEGER) AS pos, src, compiles, {_OBJECT} AS object_path, {_STORED} AS bitcode_path FROM input
 )
@@ -323,12 +382,19 @@ ORACLE_SQL = {
   UNION ALL SELECT cmd_id, pos, 2, 'bitcode', {_spaced(_CC, 'compile_args', _text(_BITCODE_FLAGS))} || ' -emit-llvm -c -o ' || bitcode_path || ' ' || src
     FROM made JOIN facts USING (cmd_id) WHERE NOT regexp_matches(src, '[^/]\\.bc$') AND {_SKIP} IS NULL
   UNION ALL SELECT cmd_id, pos, 3, 'embed', CASE WHEN regexp_matches(src, '[^/]\\.bc$') THEN src ELSE bitcode_path END || ' ' || object_path FROM made JOIN facts USING (cmd_id) WHERE {_SKIP} IS NULL
-  UNION ALL SELECT cmd_id, 1000000, 4, 'link', {_spaced(_CC, 'link_args')} || ' -o ' || output_filename || ' ' || objects
+  UNION ALL SELECT cmd_id, 1000000, 4, 'link', {_spaced(_CC, 'link_args')} || ' -o ' || {_OUTPUT} || ' ' || objects
     FROM facts JOIN (SELECT cmd_id, string_agg(object_path, ' ' ORDER BY pos) AS objects FROM made GROUP BY cmd_id) USING (cmd_id)
     WHERE NOT is_compile_only AND output_filename <> '' AND {_SKIP} IS NULL
 )
 SELECT step.cmd_id, CAST(row_number() OVER (PARTITION BY step.cmd_id ORDER BY step.pos, k) - 1 AS INTEGER) AS step, kind, args
 FROM step JOIN facts USING (cmd_id) WHERE error IS NULL""",
+    "skip_when_configured": _ACT + _FACTS + f"SELECT cmd_id, {_SKIP.replace('WHEN false THEN', 'WHEN cmd_id % 5 = 0 THEN')} AS skip_reason FROM facts",
+    "empty_commands": "SELECT o_orderkey AS cmd_id, CAST(o_orderkey % 2 = 0 AS INTEGER) AS n_inputs, CASE WHEN o_orderkey % 2 <> 0 THEN 'no arguments' END AS error FROM orders",
+    "log_names": "SELECT o_orderkey, CASE WHEN o_orderkey % 9 < 2 THEN 'error' WHEN o_orderkey % 9 = 2 THEN 'warn' WHEN o_orderkey % 9 = 3 THEN 'info' WHEN o_orderkey % 9 = 4 THEN 'debug' ELSE 'trace' END AS level FROM orders",
+    "relative_plans": _ACT
+    + _FACTS
+    + f"""SELECT act.cmd_id, 1 AS step, 'error' AS kind, 'source path is not absolute ' || string_agg(t, ' ' ORDER BY act.pos) AS args
+  FROM act JOIN facts USING (cmd_id) WHERE does = 'input_file' AND NOT starts_with(t, '/') AND {_SKIP} IS NULL AND error IS NULL GROUP BY act.cmd_id""",
     "derive_paths": f"""WITH s AS (SELECT p_partkey, p_size % 2 = 0 AS compiles, {_SRC} AS src FROM part), d AS ({_SPLIT.format('s')})
 SELECT p_partkey, stem, CASE WHEN name <> stem THEN substr(name, length(stem) + 2) END AS extension, {_OBJECT} AS object_path,
   folder || '/.' || stem || '.o.bc' AS bitcode_path, CASE WHEN regexp_matches(name, '.\\.bc$') THEN src ELSE folder || '/.' || stem || '.o.bc' END AS used_path,
@@ -349,6 +415,18 @@ SELECT archive, CAST(row_number() OVER (PARTITION BY archive ORDER BY k) - 1 AS
     "manifests": f"""WITH line AS ({_lines('text', 'documents', 'doc_id')}), keyed AS (SELECT *, {_key('path')} AS k FROM line),
 one AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY i) = 1)
 SELECT '/obj/' || doc_id || '.bc.manifest' AS manifest_path, string_agg(path, chr(10) ORDER BY k) AS manifest FROM one GROUP BY doc_id""",
+    "extract_files": f"""WITH line AS ({_lines('text', 'documents', 'doc_id')}), keyed AS (SELECT *, {_key('path')} AS k FROM line),
+one AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY i) = 1),
+said AS (SELECT doc_id, string_agg(path, chr(10) ORDER BY k) AS m FROM one GROUP BY doc_id),
+named AS (SELECT *, (['elf', 'macho', 'archive'])[doc_id % 3 + 1] AS format, doc_id || CASE WHEN doc_id % 3 = 2 THEN '.bca' ELSE '.bc' END AS output FROM said)
+SELECT '/in/' || doc_id || '.x' AS path, format, output, CASE WHEN format = 'archive' THEN 'llvm-ar' || chr(10) || 'rs' ELSE 'llvm-link' || chr(10) || '-o' END || chr(10) || output || chr(10) || m AS args,
+  '/in/' || output || '.manifest' AS manifest_path, m AS manifest, CAST(NULL AS VARCHAR) AS error FROM named
+UNION ALL SELECT '/page/' || page_id || '.x', NULL, NULL, NULL, NULL, NULL, 'unsupported file format' FROM pages""",
+    "sections_added": """WITH s(k, name) AS (VALUES (0, '.notes'), (1, '.shstrtab'), (2, '.llvm_bc'))
+SELECT '/obj/' || doc_id || '.o' AS path, CAST(k AS INTEGER) AS section_pos, name,
+  CASE k WHEN 0 THEN octet_length(encode(text)) WHEN 2 THEN length('/code/' || doc_id || '.bc') END AS size, '/code/' || doc_id || '.bc' AS text FROM documents, s""",
+    "pick_last": """SELECT '/opt/' || arg_max(brand || '/' || p_size, [brand, CAST(p_size AS VARCHAR)]) || '/bin/tool' AS path
+FROM (SELECT lower(replace(p_brand, '#', '-')) AS brand, p_size FROM part)""",
     "pick_tool": f"""SELECT arg_max('tool-' || p_size, p_size) AS name, max(p_size) AS version FROM part
-WHERE p_size % 4 = 1 AND p_size BETWEEN {TOOL_VERSIONS[1]} AND {TOOL_VERSIONS[0]}""",
+WHERE p_size BETWEEN {TOOL_VERSIONS[1]} AND {TOOL_VERSIONS[0]}""",
 }

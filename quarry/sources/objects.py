@@ -98,19 +98,63 @@ def archive_members(files: DataFrame) -> DataFrame:
 
 
 def embed(objects: DataFrame, text: str = "text") -> DataFrame:
-    """objects with ``content``: an object file that holds the text.  Always one
-    line per path, so sections that a linker joins don't fuse."""
+    """objects with ``content``: an object file that holds the text as it is; made
+    anew, or, where objects has a ``content``, that with the section added.  One
+    that a section can't be added to has a null content and an ``embed_error``."""
+    given = "content" in objects.columns
+    kept = [c for c in objects.columns if c != "content"]
+    names = [*kept, "content", "embed_error"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in objects.select(*kept).schema) + ", content binary, embed_error string"
+
+    def one(own: bytes | None, said: str) -> tuple[bytes | None, str | None]:
+        try:
+            return (formats.with_section(own or b"", said) if given else formats.elf_object(said)), None
+        except formats.FormatError as bad:
+            return None, str(bad)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("content") if given else [None] * batch.num_rows
+            made = [one(c.as_py() if given else None, t.as_py() or "") for c, t in zip(own, batch.column(text), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array([m[k] for m in made], t) for k, t in ((0, pa.binary()), (1, pa.string())))], names)
+
+    return objects.mapInArrow(run, schema)
+
+
+def embed_as(objects: DataFrame, text: str, name: str) -> DataFrame:
+    """objects with ``content``: a new ELF object whose only section has that name."""
+    return _made(objects, text, lambda said: formats.elf_object(said, name))
+
+
+def embed_macho(objects: DataFrame, text: str = "text") -> DataFrame:
+    """objects with ``content``: a new Mach-O object that holds the text."""
+    return _made(objects, text, formats.macho_object)
+
+
+def _made(objects: DataFrame, text: str, make: Callable[[str], bytes]) -> DataFrame:
     names = [*objects.columns, "content"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in objects.schema) + ", content binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [formats.elf_object(t.as_py() or "") for t in batch.column(text)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([make(t.as_py() or "") for t in batch.column(text)], pa.binary())], names)
 
     return objects.mapInArrow(run, schema)
 
 
+def section_table(files: DataFrame) -> DataFrame:
+    """path, section_pos, name, size, error: the sections of each object file."""
+
+    def rows(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            yield from [(path, k, name, len(own), None) for k, (name, own) in enumerate(formats.sections(content))]
+        except formats.FormatError as bad:
+            yield path, None, None, None, str(bad)
+
+    types = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string()]
+    return _parse(files, "path string, section_pos int, name string, size long, error string", types, rows)
+
+
 def archive_of(objects: DataFrame, group: str, order: str, name: str, content: str = "content") -> DataFrame:
     """path, content: an archive per value of ``group``, members by ``order``.
     An archive is one value, so a group must fit in a row."""

@@ -21,6 +21,25 @@ def test_relative_source_has_no_artifacts(spark):
     assert one(spark, "foo.c", P.object_path(p, F.lit(False)), P.bitcode_path(p)) == (None, None)
 
 
+def test_paths_below_a_working_directory(spark):
+    df = spark.createDataFrame([("a.c", "/w"), ("../../../a", "/w/x"), ("/a/./b//c/..", None), ("./", "/w/"), ("a", None), ("a", "rel"), (None, "/w")], "p string, d string")
+    got = [r.x for r in df.select(P.absolute(F.col("p"), F.col("d")).alias("x")).collect()]
+    assert got == ["/w/a.c", "/a", "/a/b", "/w", None, None, None]
+
+
+def test_lines_of_one_text_take_about_linear_time(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([("\n".join(f"/d{k % 97}/f{k * 7919 % n}" for k in range(n)),)], "text string")
+        began = time.perf_counter()
+        assert len(sorted_paths_per_object(df).first()["paths"]) == n
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(16000) < 4 + 6 * seconds(4000)
+
+
 def test_names_stems_and_extensions(spark):
     p = F.col("p")
     cases = {
@@ -63,9 +82,19 @@ def test_distinct_across_objects_keeps_first_spelling(spark):
     assert sorted(map(tuple, got)) == [("g", 0, "/a//x"), ("g", 1, "/b"), ("h", 0, "/c")]
 
 
+def test_numbers_of_a_group_in_several_ranges(spark):
+    rows = [("g", 1, "\n".join(f"/d{k * 7919 % 1000:03d}" for k in range(1000))), (None, 2, "/b\n/a"), ("h", 3, "/c")]
+    found = distinct_paths(spark.createDataFrame(rows, "g string, o int, text string"), ["g"], ["o"])
+    got = number_paths(found, ["g"], 5)
+    assert got.columns == [*found.columns, "pos"]
+    got = sorted((r.g or "", r.pos, r.path) for r in got.collect())
+    assert got == [("", 0, "/a"), ("", 1, "/b"), *(("g", k, f"/d{k:03d}") for k in range(1000)), ("h", 0, "/c")]
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "g string, o int, text string")
     assert distinct_paths(df, ["g"], ["o"]).count() == 0
+    assert number_paths(distinct_paths(df, ["g"], ["o"]), ["g"]).count() == 0
     assert sorted_paths_per_object(df).count() == 0
 
 

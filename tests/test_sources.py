@@ -15,6 +15,40 @@ def test_object_round_trips():
     assert formats.embedded_text(formats.elf_object("x", name=".other")) is None
 
 
+def test_a_section_is_added_to_what_is_there():
+    import struct
+
+    data = formats.elf_object("/a.bc", name=".notes")
+    more = formats.with_section(data, "/b.bc")
+    assert dict(formats.sections(more))[".notes"] == b"/a.bc" and formats.embedded_text(more) == "/b.bc" and formats.is_relocatable(more)
+    # a 32-bit big-endian one, written out by hand
+    names = b"\0.shstrtab\0"
+    head = b"\x7fELF\x01\x02\x01" + bytes(9) + struct.pack(">HHIIIIIHHHHHH", 1, 8, 1, 0, 0, 52 + 12, 0, 52, 0, 0, 40, 2, 1)
+    data = head + names.ljust(12, b"\0") + bytes(40) + struct.pack(">10I", 1, 3, 0, 0, 52, 11, 0, 0, 1, 0)
+    assert formats.embedded_text(formats.with_section(data, "/c.bc")) == "/c.bc"
+    for bad in (formats.macho_object("x"), data[:52], b"", b"text"):
+        with pytest.raises(formats.FormatError):
+            formats.with_section(bad, "x")
+
+
+def test_extraction_of_files_on_disk(spark, tmp_path):
+    from quarry.plans.extraction import extract_files
+
+    (tmp_path / "one.o").write_bytes(formats.elf_object("/b.bc\n/a.bc\n/a.bc\n"))
+    (tmp_path / "two.dylib").write_bytes(formats.macho_object("/m.bc"))
+    (tmp_path / "lib.a").write_bytes(formats.archive([("x.o", formats.elf_object("/y.bc")), ("y.o", formats.elf_object("/x.bc\n/y.bc"))]))
+    (tmp_path / "bad.a").write_bytes(formats.archive([("x.o", formats.elf_object("/x.bc")), ("t.txt", b"text")]))
+    (tmp_path / "none.o").write_bytes(formats.elf_object("x", name=".other"))
+    (tmp_path / "notes.txt").write_text("text")
+    rows = {os.path.basename(r.path): r for r in extract_files(spark, str(tmp_path), archive=True, manifest=True).collect()}
+    assert rows["one.o"].args == ["llvm-link", "-o", "one.bc", "/a.bc", "/b.bc"] and rows["one.o"].manifest == "/a.bc\n/b.bc"
+    assert rows["two.dylib"].args == ["llvm-link", "-o", "two.bc", "/m.bc"]
+    assert rows["lib.a"].args == ["llvm-ar", "rs", "lib.bca", "/x.bc", "/y.bc"] and rows["lib.a"].manifest_path.endswith("/lib.bca.manifest")
+    assert {k: r.error for k, r in rows.items() if r.error} == {"bad.a": "unsupported file format", "none.o": "no embedded paths", "notes.txt": "unsupported file format"}
+    plain = {os.path.basename(r.path): r for r in extract_files(spark, str(tmp_path), "*.a", output="all.bc").collect()}
+    assert plain["lib.a"].args == ["llvm-link", "-o", "all.bc", "/x.bc", "/y.bc"] and plain["lib.a"].manifest is None
+
+
 def test_archive_round_trip_with_long_names():
     files = [("a.o", b"1"), ("a_very_long_member_name.o", b"22"), ("b.o", b"")]
     assert list(formats.members(formats.archive(files))) == files
