@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.once import computed_once
 from quarry.plans.rules import GROUP_END, SKIP_REASONS, rule_of
 
 _COMPILE = ["dependency_only", "compile_unary", "dependency_binary", "compile_binary", "compile_link_unary", "compile_link_binary"]
@@ -53,7 +54,7 @@ def with_actions(commands: DataFrame, objects: DataFrame | None = None) -> DataF
     Only commands with unmatched tokens meet ``objects``, and only by the tokens'
     text, so the join moves those tokens and brings back a row per command.
     """
-    acted = commands.withColumn("actions", actions(F.col("tokens")))
+    acted = commands.withColumn("actions", computed_once(actions(F.col("tokens"))))
     if objects is None:
         return acted.withColumn("actions", F.transform("actions", lambda a: a.withField("handler", F.coalesce(a["handler"], F.lit("compile_unary")))))
     tokens = acted.select("tokens", F.explode("actions").alias("a")).where("a.handler is null")

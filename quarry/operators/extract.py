@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.functions.once import computed_once
 from quarry.functions.paths import component_key
 from quarry.functions.text import section_lines
 from quarry.sources.scratch import written
@@ -20,14 +21,14 @@ def sorted_paths_per_object(objects: DataFrame, text: str = "text") -> DataFrame
 
     All inside one row, so nothing is shuffled: lines become (key, position,
     line), sort by that, and those whose key equals the one before go.  The
-    sorted lines are a column of their own, as a lambda would sort them again
-    for each of its elements.
+    sorted lines are a column of their own that is worked out once, as a lambda
+    would sort them again for each of its elements.
     """
     ordered = "ordered"
     while ordered in objects.columns:
         ordered += "_"
     keyed = F.transform(section_lines(F.col(text)), lambda line, i: F.struct(component_key(line).alias("k"), i.alias("i"), line.alias("line")))
-    sorted_ = objects.withColumn(ordered, F.array_sort(keyed))
+    sorted_ = objects.withColumn(ordered, computed_once(F.sort_array(keyed)))
     first = F.filter(ordered, lambda x, i: (i == 0) | (x["k"] != F.get(F.col(ordered), i - 1)["k"]))
     return sorted_.withColumn("paths", F.transform(first, lambda x: x["line"])).drop(ordered)
 
