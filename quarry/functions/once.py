@@ -10,5 +10,5 @@ def computed_once(value: Column) -> Column:
     """The value itself.  A filter on a column, such as the one that exploding
     implies, is moved below the projection that makes it and takes the column's
     expression along, once for each of its uses.  That isn't done where a value may
-    depend on a row's place, as this seems to, though its condition always holds."""
-    return F.when(F.monotonically_increasing_id() >= 0, value)
+    depend on chance, as this seems to, though its condition always holds."""
+    return F.when(F.rand(0) + 1 > 0, value)
