@@ -40,9 +40,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import byte_view, id_fold, materialize, mix64, span_hashes, text_slices, words
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Tokens of all blocks for each segment.
-SEGMENT_TOKENS = 1 << 21
+SEGMENT_TOKENS = 1 << 20
 #: The most tokens whose filters are broadcast: some 6 MB of bits and at most
 #: 28 MB of words.
 BROADCAST_TOKENS = 1 << 20
