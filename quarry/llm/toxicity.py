@@ -44,26 +44,28 @@ _FOLDS, _HELD_OUT = 4, 2
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, score) of a sequence, in linear
-    time; runs of positive scores enter as one step."""
+    time: each segment keeps the place of the last one before it with a lower sum
+    at its start, so a search passes no segment twice.  Runs of positive scores
+    enter as one step."""
     up = np.flatnonzero(scores > 0)
     if not len(up):
         return []
     total = np.concatenate([[0.0], np.cumsum(scores)])
     gap = np.flatnonzero(np.diff(up) > 1)
     begins, ends = up[np.concatenate([[0], gap + 1])], up[np.concatenate([gap, [len(up) - 1]])] + 1
-    stack: list[tuple[int, int, float, float]] = []  # begin, end, sum before, sum up to the end
-    for b, e in zip(begins.tolist(), ends.tolist(), strict=True):
-        lo, hi = total[b], total[e]
+    stack: list[tuple[int, int, float, float, int]] = []  # begin, end, sum before, sum up to the end, lower one's place
+    for b, e, lo, hi in zip(begins.tolist(), ends.tolist(), total[begins].tolist(), total[ends].tolist(), strict=True):
+        j = len(stack) - 1
         while True:
-            j = len(stack) - 1
             while j >= 0 and stack[j][2] >= lo:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][3] >= hi:
-                stack.append((b, e, lo, hi))
+                stack.append((b, e, lo, hi, j))
                 break
-            b, lo = stack[j][0], stack[j][2]
+            b, _, lo, _, lower = stack[j]
             del stack[j:]
-    return [(b, e, float(hi - lo)) for b, e, lo, hi in stack]
+            j = lower
+    return [(b, e, hi - lo) for b, e, lo, hi, _ in stack]
 
 
 def _hashed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:

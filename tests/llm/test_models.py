@@ -52,6 +52,18 @@ def test_segments_against_their_definition():
         assert all(v == pytest.approx(s[a:b].sum()) for a, b, v in got)
 
 
+def test_segments_take_linear_time():
+    import time
+
+    def seconds(n):
+        s = np.tile([1.0, -2.0], n // 2)
+        began = time.perf_counter()
+        assert len(toxicity.maximal_segments(s)) == n // 2
+        return time.perf_counter() - began
+
+    assert min(seconds(200_000) for _ in range(3)) <= 3 * min(seconds(100_000) for _ in range(3))
+
+
 def labels_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
