@@ -230,3 +230,29 @@ def test_pipeline_stages(spark):
         docs, seen = after, ids
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in packed} == seen
+
+
+def test_the_near_duplicate_stage_against_sql(spark):
+    import duckdb
+
+    from quarry.llm import minhash
+
+    path = f"{SF}/documents.parquet"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM read_parquet('{path}')")
+    want = {r[0] for r in con.execute(f"SELECT doc_id FROM ({minhash.near_sql(5, 80)}) WHERE kept").fetchall()}
+    docs = spark.read.parquet(path)
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF).collect()} == want
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, clashing, tmp_path):
+    labels = [(4, 1, 0), (5, 0, 1), (7, 1, 0), (9, 1, 0), (11, None, None), (99, 0, 1), (None, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = clashing
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path)).cache()
+        assert after.columns == clashing.columns and after.count() >= 0, name
+        docs = after if after.count() else docs
+    corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    clashing.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
