@@ -128,6 +128,13 @@ UNUSED_KEYS = {"llvm_config_filepath", "llvm_objcopy_filepath"}
 #: Tool versions that are looked for, from the highest down.
 TOOL_VERSIONS = (33, 6)
 
+#: The tool that knows where the others are, and the option that names it in the
+#: environment.
+CONFIG_TOOL, CONFIG_VARIABLE = "llvm-config", "LLVM_CONFIG"
+
+#: Tools that a build needs beside it, and what they set in its options.
+TOOL_NAMES = {"clang": "compiler.Clang", "clang++": "compiler.ClangXX", "llvm-ar": "archiver", "llvm-link": "linker", "llvm-objcopy": None}
+
 # -----------------------------------------------------------------------------
 
 EXACT_RULES = {flag: (handler, arity) for handler, arity, flags in EXACT for flag in flags.split()}

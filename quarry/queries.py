@@ -15,6 +15,7 @@ from quarry.functions.text import WHITE_SPACE
 from quarry.operators import classify as C
 from quarry.operators import extract as X
 from quarry.plans import commands as K
+from quarry.plans import tools as T
 from quarry.plans.extraction import extract
 from quarry.plans.rules import EXACT_RULES, GROUP_END, GROUP_START, PATTERNS, SKIP_REASONS, TOOL_VERSIONS
 from quarry.sources import manifest, objects
@@ -220,12 +221,26 @@ def pick_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.pick_last(found, "path")
 
 
+def find_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing: each part's size as a version, in folders by brand."""
+    listed = F.concat(F.lit("/opt/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))), F.lit("/llvm-config-"), F.col("p_size"))
+    return T.find_tool(_table(spark, sf_dir, "part").select(listed.alias("path")), ["/opt/brand-35", "/opt/brand-21", "/opt/brand-12"])
+
+
+def run_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands that echo nations, one program that doesn't exist, one that fails."""
+    program = F.when(F.col("n_nationkey") == 3, "/no/such/program").when(F.col("n_nationkey") == 4, "false").otherwise("echo")
+    plans = _table(spark, sf_dir, "nation").select("n_nationkey", F.array(program, F.lit("nation"), "n_name").alias("args"))
+    return T.run_commands(plans).drop("args")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         classify_tokens, classify_with_objects, parse_commands, skip_and_mode, build_commands, artifacts, command_plans, derive_paths,
         extract_lines, extract_paths, distinct_paths, object_sections, file_kinds, archive_members, archive_paths, manifests, pick_tool,
         pick_last, skip_when_configured, empty_commands, log_names, relative_plans, extract_files, sections_added,
+        find_tool, run_commands,
     )
 }
 
@@ -427,6 +442,12 @@ SELECT '/obj/' || doc_id || '.o' AS path, CAST(k AS INTEGER) AS section_pos, nam
   CASE k WHEN 0 THEN octet_length(encode(text)) WHEN 2 THEN length('/code/' || doc_id || '.bc') END AS size, '/code/' || doc_id || '.bc' AS text FROM documents, s""",
     "pick_last": """SELECT '/opt/' || arg_max(brand || '/' || p_size, [brand, CAST(p_size AS VARCHAR)]) || '/bin/tool' AS path
 FROM (SELECT lower(replace(p_brand, '#', '-')) AS brand, p_size FROM part)""",
+    "find_tool": f"""WITH folder(j, place) AS (VALUES (0, '/opt/brand-35'), (1, '/opt/brand-21'), (2, '/opt/brand-12')),
+listed AS (SELECT '/opt/' || lower(replace(p_brand, '#', '-')) AS place, p_size FROM part WHERE p_size BETWEEN {TOOL_VERSIONS[1]} AND {TOOL_VERSIONS[0]})
+SELECT arg_max(place || '/llvm-config-' || p_size, 3 * p_size - j) AS path, CASE WHEN count(*) > 0 THEN 'versioned' END AS how FROM listed JOIN folder USING (place)""",
+    "run_commands": """SELECT n_nationkey, CASE n_nationkey WHEN 3 THEN NULL WHEN 4 THEN 1 ELSE 0 END AS status,
+  CASE n_nationkey WHEN 3 THEN NULL WHEN 4 THEN '' ELSE 'nation ' || n_name END AS stdout, CASE WHEN n_nationkey <> 3 THEN '' END AS stderr,
+  CASE WHEN n_nationkey = 3 THEN 'No such file or directory' END AS run_error FROM nation""",
     "pick_tool": f"""SELECT arg_max('tool-' || p_size, p_size) AS name, max(p_size) AS version FROM part
 WHERE p_size BETWEEN {TOOL_VERSIONS[1]} AND {TOOL_VERSIONS[0]}""",
 }

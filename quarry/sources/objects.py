@@ -155,6 +155,39 @@ def section_table(files: DataFrame) -> DataFrame:
     return _parse(files, "path string, section_pos int, name string, size long, error string", types, rows)
 
 
+def symbol_table(files: DataFrame) -> DataFrame:
+    """path, symbol_pos, name, value, size, section, error: the symbols of each
+    object file; values are 64 bits, so those past 2**63 come out negative."""
+
+    def rows(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            yield from [(path, k, name, _signed(value), size, section, None) for k, (name, value, size, section) in enumerate(formats.symbols(content))]
+        except formats.FormatError as bad:
+            yield path, None, None, None, None, None, str(bad)
+
+    types = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return _parse(files, "path string, symbol_pos int, name string, value long, size long, section string, error string", types, rows)
+
+
+def relocation_table(files: DataFrame) -> DataFrame:
+    """path, relocation_pos, section, offset, type, symbol_pos, addend, error: the
+    relocations of each object file; without a symbol its place is null."""
+
+    def rows(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            for k, (section, offset, kind, symbol, addend) in enumerate(list(formats.relocations(content))):
+                yield path, k, section, _signed(offset), kind, None if symbol < 0 else symbol, addend, None
+        except formats.FormatError as bad:
+            yield path, None, None, None, None, None, None, str(bad)
+
+    types = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
+    return _parse(files, "path string, relocation_pos int, section string, offset long, type long, symbol_pos int, addend long, error string", types, rows)
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
 def archive_of(objects: DataFrame, group: str, order: str, name: str, content: str = "content") -> DataFrame:
     """path, content: an archive per value of ``group``, members by ``order``.
     An archive is one value, so a group must fit in a row."""

@@ -19,7 +19,7 @@ def rows(table):
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("part", "orders", "lineitem", "documents", "pages"):
+    for t in ("nation", "part", "orders", "lineitem", "documents", "pages"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 
