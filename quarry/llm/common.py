@@ -286,15 +286,15 @@ def bounded_sample(docs: DataFrame, labelled: DataFrame, per_label: int, max_byt
     else a label goes to one text of its doc_id.  Of each label the ``per_label``
     rows with the smallest hash are taken, but for those that would exceed an equal
     share of ``max_bytes``, which are stepped over; a label with no text in its
-    share has its smallest candidate.  So the sample is the same on every run and
+    share has its smallest candidate.  Of more than ``max_labels`` labels those with
+    most rows (of as many, the first by code point) are learned.  So the sample is the same on every run and
     has a size that doesn't grow with the data.  Only counts are over all rows.
     """
     own = "text" in labelled.columns
     labelled = labelled.where(F.col("text" if own else "doc_id").isNotNull())
     labelled = labelled.withColumn("h", F.xxhash64("doc_id", "text") if own else F.xxhash64("doc_id"))
-    counts = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("d")).limit(max_labels + 1).collect()
-    if len(counts) > max_labels:
-        raise ValueError(f"more than {max_labels} labels")
+    counts = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("d"))
+    counts = counts.orderBy(F.desc("n"), "label").limit(max_labels).collect()
     # twice the rows wanted, by hash, so that some can be stepped over
     near = F.lit(False)
     for label, _, distinct in counts:

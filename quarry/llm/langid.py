@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import bounded_sample, fit_logistic, id_fold, mix64, release_memory, text_slices
 
-#: The sample to fit on: rows of each language, bytes of text and languages in all.
+#: The sample to fit on: rows of each language, bytes of text and languages in all;
+#: of more languages, those with most rows are learned.
 SAMPLE_ROWS = 800
 SAMPLE_BYTES = 8 << 20
 MAX_LANGUAGES = 256
