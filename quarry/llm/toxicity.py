@@ -1,15 +1,17 @@
 """Toxicity by maximum-scoring segments.
 
 Fitting: on a bounded sample of labelled rows, each word gets the log-odds of
-toxic against other documents under a Dirichlet prior (counted once with each
-word before it, so copies of a text add nothing), shrunk to the nearer end of
-its 95 % interval (0 where that spans 0), less a drift that makes an average
-word's score negative.  Scoring: a linear scan finds every maximal-scoring
-segment of a text; under the clean documents' word scores a segment of score S
-in n words has the extreme-value tail K n exp(-lambda S), with lambda from the
-scores' distribution and K fitted on the clean documents' best segments.  A
-document's score joins its best segment's and its significant segments' evidence
-in a logistic calibration, weighted back to the labels' own proportions.
+toxic against other documents under a Dirichlet prior, shrunk to the nearer end
+of its 95 % interval (0 where that spans 0), less a drift that makes an average
+word's score negative.  A word counts once with each word before it, so copies of
+a text add nothing.  Scoring: where a text repeats a word after the same word,
+that says nothing new and scores the drift only; a linear scan finds every
+maximal-scoring segment of a text; under the clean documents' word scores a
+segment of score S in n words has the extreme-value tail K n exp(-lambda S),
+with lambda from the scores' distribution and K fitted on the clean documents'
+best segments.  A document's score joins its best segment's and its significant
+segments' evidence in a logistic calibration, weighted back to the labels' own
+proportions.
 
 Defined cases: a null or empty text has no segment and gets the score of no
 evidence; null labels and label rows without a document are not learned from; a
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NOT_ALNUM, bounded_sample, byte_view, fit_logistic, id_fold, release_memory, span_hashes, text_slices, words
+from quarry.llm.common import NOT_ALNUM, bounded_sample, byte_view, fit_logistic, id_fold, mix64, release_memory, span_hashes, text_slices, words
 
 #: The sample to fit on: rows of each label, and bytes of text in all.
 SAMPLE_ROWS = 3000
@@ -110,7 +112,7 @@ class ToxicityModel:
         self._calibrate(h, word_off, y, totals, n1, n0)
 
     def _calibrate(self, h: np.ndarray, word_off: np.ndarray, y: np.ndarray, totals: dict, n1: float, n0: float) -> None:
-        s = self.word_scores(h)
+        s = self.word_scores(h, word_off)
         clean = np.repeat(y == 0, np.diff(word_off))
         value, count = np.unique(np.round(s[clean], 3), return_counts=True)
         p = count / count.sum()
@@ -129,11 +131,21 @@ class ToxicityModel:
         weight = np.where(y == 1, totals[1] / n1, totals[0] / n0)
         self.weights = fit_logistic(x, y, weight * len(y) / weight.sum())
 
-    def word_scores(self, h: np.ndarray) -> np.ndarray:
+    def word_scores(self, h: np.ndarray, word_off: np.ndarray) -> np.ndarray:
+        """Each word's score in its text; ``word_off``: the n+1 offsets of the texts."""
         if not len(self.words):
             return np.full(len(h), -self.drift)
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, self.scores[at], 0.0) - self.drift
+        out = np.where(self.words[at] == h, self.scores[at], 0.0) - self.drift
+        # of a text's equal pairs of a word and the one before it, only the first is evidence
+        up = np.flatnonzero(out > 0)
+        row = np.searchsorted(word_off, up, "right") - 1
+        before = np.where(up == word_off[row], np.uint64(0), h[up - 1])
+        pair = mix64(mix64(before + np.uint64(1)) ^ h[up]) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        again = np.ones(len(up), bool)
+        again[np.unique(pair, return_index=True)[1]] = False
+        out[up[again]] = -self.drift
+        return out
 
     def e_value(self, score: float, n: int) -> float:
         return self.k * max(1, n) * math.exp(-min(600.0, self.lam * score))
@@ -179,7 +191,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, k
         for batch in text_slices(batches, "text"):
             data, off = byte_view(batch.column("text"))
             starts, ends, word_off = words(data, off, NOT_ALNUM)
-            s = m.word_scores(span_hashes(data, starts, ends))
+            s = m.word_scores(span_hashes(data, starts, ends), word_off)
             out, passages = [], []
             for a, b in zip(word_off[:-1].tolist(), word_off[1:].tolist(), strict=True):
                 segments = maximal_segments(s[a:b])
@@ -201,7 +213,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHO
         for batch in text_slices(batches, "text"):
             data, off = byte_view(batch.column("text"))
             starts, ends, word_off = words(data, off, NOT_ALNUM)
-            s = m.word_scores(span_hashes(data, starts, ends))
+            s = m.word_scores(span_hashes(data, starts, ends), word_off)
             p = [m.probability(m.evidence(maximal_segments(s[a:b]), b - a)) for a, b in zip(word_off[:-1].tolist(), word_off[1:].tolist(), strict=True)]
             yield batch.filter(pa.array([x < threshold for x in p], pa.bool_()))
 

@@ -122,7 +122,7 @@ def test_toxicity_scores(spark):
         w = alnum_words(text)
         seen[y].update(zip(w, [None, *w[:-1]], strict=True))
     count = {y: Counter(w for w, _ in pairs) for y, pairs in seen.items()}
-    whole = {y: len(pairs) for y, pairs in seen.items()}
+    whole = {y: sum(c.values()) for y, c in count.items()}
     scores, prior = {}, toxicity.PRIOR
     for w in count[0] | count[1]:
         c1, c0 = count[1][w], count[0][w]
@@ -139,7 +139,10 @@ def test_toxicity_scores(spark):
     assert sum(len(r.passages) for r in got.values()) >= 5 and {r.predicted for r in got.values()} == {0, 1}
     for k, text in enumerate(texts):
         w = alnum_words(text)
-        found = segments_by_definition(np.array([scores.get(x, 0.0) - toxicity.DRIFT for x in w]))
+        pairs = list(zip([None, *w[:-1]], w, strict=True)) if w else []
+        s = [scores.get(x, 0.0) - toxicity.DRIFT for x in w]
+        s = [-toxicity.DRIFT if v > 0 and pairs[i] in pairs[:i] else v for i, v in enumerate(s)]
+        found = segments_by_definition(np.array(s))
         expected = [model.k * len(w) * math.exp(-model.lam * v) for _, _, v in found]
         wanted = [(a, b) for (a, b, _), e in zip(found, expected, strict=True) if e < toxicity.E_VALUE]
         assert [(p.first_word, p.end_word) for p in got[k].passages] == wanted
@@ -151,6 +154,22 @@ def test_toxicity_scores(spark):
         assert got[k].score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9) and got[k].predicted == int(got[k].score >= 0.3)
 
 
+def test_a_repeated_word_is_no_passage(spark):
+    """A text that is copied often teaches nothing, and one that repeats a faintly
+    toxic word isn't toxic for it."""
+    clean = [f"plain text {k} about things {k * k} and more of {k % 7} it" for k in range(60)] + [f"faint {k} one and {k}" for k in range(12)]
+    toxic = [f"plain text {k} vile about things awful and {k} vile awful of it" for k in range(60)] + ["copied line of chance"] * 30 + [f"faint {k} two" for k in range(60)]
+    rows = [(t, 0) for t in clean] + [(t, 1) for t in toxic]
+    model = toxicity.ToxicityModel(pa.table({"label": [y for _, y in rows], "text": [t for t, _ in rows]}), {0: len(clean), 1: len(toxic)})
+    scores = dict(zip(model.words.tolist(), model.scores.tolist(), strict=True))
+    assert scores[word_hash(b"vile")] > 1 and word_hash(b"chance") not in scores
+    docs = spark.createDataFrame([(1, "and vile"), (2, "and " + "vile " * 300), (3, "vile x vile y vile z vile")], "doc_id long, text string")
+    one, often, apart = (model.word_scores(np.array([word_hash(w) for w in alnum_words(r.text)], np.uint64), np.array([0, len(alnum_words(r.text))])) for r in docs.orderBy("doc_id").collect())
+    assert (one > 0).sum() == 1 and (often > 0).sum() == 2 and (apart > 0).sum() == 4
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert all(p.end_word - p.first_word <= 2 for p in got[2].passages)
+
+
 # ---------------------------------------------------------------------- languages
 
 
