@@ -2,19 +2,25 @@
 
 The bytes come from Spark's `binaryFile` source (any store that Spark reads);
 parsing them is the one thing here that no built-in expression does, so it runs
-over Arrow batches.  What can't be parsed gets an ``error``, not a failed job.
+over Arrow batches, a row at a time, and what it makes leaves in small batches: a
+task's Python holds what Spark sends at once, and no more however many rows there
+are.  What can't be parsed gets an ``error``, not a failed job.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import struct
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.sources import formats
 
+#: Bytes and rows at which a batch of made values is sent on.
+CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 1024
+
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """path, length, content of files; unused columns are not read."""
@@ -40,14 +46,27 @@ def file_kind(content: str = "content"):
     )
 
 
+def _chunks(rows: Iterable[tuple], types: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``CHUNK_BYTES``, or of one row that is larger."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, bytes | str))
+        if size >= CHUNK_BYTES or len(held) >= CHUNK_ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+
+
 def _parse(files: DataFrame, schema: str, types: list[pa.DataType], rows: Callable[[str, bytes], Iterator[tuple]]) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                out = list(rows(path.as_py(), content.as_py() or b""))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
+            own = zip(batch.column("path"), batch.column("content"), strict=True)
+            yield from _chunks((r for path, content in own for r in rows(path.as_py(), content.as_py() or b"")), types, names)
 
     return files.select("path", "content").mapInArrow(run, schema)
 
@@ -101,45 +120,67 @@ def embed(objects: DataFrame, text: str = "text") -> DataFrame:
     """objects with ``content``: an object file that holds the text as it is; made
     anew, or, where objects has a ``content``, that with the section added.  One
     that a section can't be added to has a null content and an ``embed_error``."""
-    given = "content" in objects.columns
+    if "content" not in objects.columns:
+        return embed_as(objects, text, formats.ELF_SECTION).withColumn("embed_error", F.lit(None).cast("string"))
     kept = [c for c in objects.columns if c != "content"]
     names = [*kept, "content", "embed_error"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in objects.select(*kept).schema) + ", content binary, embed_error string"
 
     def one(own: bytes | None, said: str) -> tuple[bytes | None, str | None]:
         try:
-            return (formats.with_section(own or b"", said) if given else formats.elf_object(said)), None
+            return formats.with_section(own or b"", said), None
         except formats.FormatError as bad:
             return None, str(bad)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column("content") if given else [None] * batch.num_rows
-            made = [one(c.as_py() if given else None, t.as_py() or "") for c, t in zip(own, batch.column(text), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array([m[k] for m in made], t) for k, t in ((0, pa.binary()), (1, pa.string())))], names)
+            own = zip(batch.column("content"), batch.column(text), strict=True)
+            at = 0
+            for made in _chunks((one(c.as_py(), t.as_py() or "") for c, t in own), [pa.binary(), pa.string()], names[-2:]):
+                part = batch.slice(at, made.num_rows)
+                at += made.num_rows
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made.columns], names)
 
     return objects.mapInArrow(run, schema)
 
 
 def embed_as(objects: DataFrame, text: str, name: str) -> DataFrame:
-    """objects with ``content``: a new ELF object whose only section has that name."""
-    return _made(objects, text, lambda said: formats.elf_object(said, name))
+    """objects with ``content``: a new ELF object whose only section has that name.
+
+    Built by expressions, so texts don't leave the JVM: it is the object of an empty
+    text with its sizes and places written anew, as ``formats.elf_object`` would."""
+    blank = formats.elf_object("", name)
+    heads = blank[-192:]
+    n_names = struct.unpack_from("<Q", heads, 128 + 32)[0]
+    body = _bytes(text)
+    at_names = F.octet_length(body) + 64
+    table = F.ceil((at_names + n_names) / 8) * 8
+    return objects.withColumn(
+        "content",
+        F.concat(
+            *(F.lit(blank[:40]), _word(table), F.lit(blank[48:64]), body, F.lit(blank[64 : 64 + n_names])),
+            F.substr(F.lit(bytes(8)), F.lit(1), (table - at_names - n_names).cast("int")),
+            *(F.lit(heads[:96]), _word(at_names - 64), F.lit(heads[104:152]), _word(at_names), F.lit(heads[160:])),
+        ),
+    )
 
 
 def embed_macho(objects: DataFrame, text: str = "text") -> DataFrame:
-    """objects with ``content``: a new Mach-O object that holds the text."""
-    return _made(objects, text, formats.macho_object)
+    """objects with ``content``: a new Mach-O object that holds the text, built as
+    ``embed_as`` does it."""
+    blank, body = formats.macho_object(""), _bytes(text)
+    size = _word(F.octet_length(body))
+    return objects.withColumn("content", F.concat(F.lit(blank[:64]), size, F.lit(blank[72:80]), size, F.lit(blank[88:144]), size, F.lit(blank[152:]), body))
 
 
-def _made(objects: DataFrame, text: str, make: Callable[[str], bytes]) -> DataFrame:
-    names = [*objects.columns, "content"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in objects.schema) + ", content binary"
+def _bytes(text: str) -> Column:
+    return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([make(t.as_py() or "") for t in batch.column(text)], pa.binary())], names)
 
-    return objects.mapInArrow(run, schema)
+def _word(value: Column) -> Column:
+    """A number of up to 32 bits as 64 little-endian ones."""
+    digits = (F.lpad(F.hex(F.shiftright(value.cast("long"), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4))
+    return F.unhex(F.concat(*digits, F.lit("00000000")))
 
 
 def section_table(files: DataFrame) -> DataFrame:
@@ -195,7 +236,8 @@ def archive_of(objects: DataFrame, group: str, order: str, name: str, content: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [formats.archive([(x["n"], x["c"]) for x in files.as_py()]) for files in batch.column("files")]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(made, pa.binary())], ["path", "content"])
+            own = zip(batch.column("path"), batch.column("files"), strict=True)
+            made = ((path.as_py(), formats.archive([(x["n"], x["c"]) for x in files.as_py()])) for path, files in own)
+            yield from _chunks(made, [pa.string(), pa.binary()], ["path", "content"])
 
     return packed.select(F.col(group).cast("string").alias("path"), "files").mapInArrow(run, "path string, content binary")

@@ -95,3 +95,24 @@ def test_stream_of_commands(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [tuple(r) for r in spark.table("seen").collect()] == [(1, True)]
+
+
+def test_built_objects_are_those_of_the_format(spark):
+    texts = [None, "", "\n", "/a/ü.bc\n", "\U0001f600" * 3, *("x" * n for n in range(1, 20)), "y" * 70_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", "text", F.lit("kept").alias("other"))
+    for df, make in (
+        (objects.embed(docs), formats.elf_object),
+        (objects.embed_as(docs, "text", ".notes"), lambda t: formats.elf_object(t, ".notes")),
+        (objects.embed_macho(docs), formats.macho_object),
+    ):
+        assert "MapInArrow" not in df._jdf.queryExecution().toString()
+        assert {r.id: bytes(r.content) for r in df.where("other = 'kept'").collect()} == {k: make(t or "") for k, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("many", [1, 40])
+def test_python_sends_on_small_batches(many):
+    """What a task's Python makes of one large batch leaves in parts of about a MB."""
+    rows = ((f"/{k}", bytes(300_000)) for k in range(many))
+    sizes = [b.nbytes for b in objects._chunks(rows, [objects.pa.string(), objects.pa.binary()], ["path", "content"])]
+    assert sum(sizes) > 300_000 * many and max(sizes) < objects.CHUNK_BYTES + 400_000 and len(sizes) == -(-many // 4)
+    assert list(objects._chunks([], [objects.pa.string()], ["path"])) == []
