@@ -73,7 +73,8 @@ def _parse(files: DataFrame, schema: str, types: list[pa.DataType], rows: Callab
 
 def object_kinds(files: DataFrame) -> DataFrame:
     """path, kind: `object` for a relocatable file, `other` for another object
-    or an archive, `unparsable` for anything else."""
+    or an archive, `unparsable` for anything else.  Only the first bytes are looked
+    at, so only they go to Python."""
 
     def rows(path: str, content: bytes) -> Iterator[tuple]:
         try:
@@ -81,7 +82,8 @@ def object_kinds(files: DataFrame) -> DataFrame:
         except formats.FormatError:
             yield path, "unparsable"
 
-    return _parse(files, "path string, kind string", [pa.string(), pa.string()], rows)
+    heads = files.select("path", F.substr("content", F.lit(1), F.lit(formats.HEAD_BYTES)).alias("content"))
+    return _parse(heads, "path string, kind string", [pa.string(), pa.string()], rows)
 
 
 def section_texts(files: DataFrame) -> DataFrame:

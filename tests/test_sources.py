@@ -116,3 +116,20 @@ def test_python_sends_on_small_batches(many):
     sizes = [b.nbytes for b in objects._chunks(rows, [objects.pa.string(), objects.pa.binary()], ["path", "content"])]
     assert sum(sizes) > 300_000 * many and max(sizes) < objects.CHUNK_BYTES + 400_000 and len(sizes) == -(-many // 4)
     assert list(objects._chunks([], [objects.pa.string()], ["path"])) == []
+
+
+def sent_to_python(monkeypatch, df, make):
+    """(frame, function) of each step in Python that ``make`` asks for."""
+    seen = []
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "mapInArrow", lambda self, run, schema, *_: seen.append((self, run)) or self)
+        make(df)
+    return seen
+
+
+def test_kinds_need_the_heads_only(spark, monkeypatch):
+    files = [formats.elf_object("x" * 9000), formats.macho_object("y" * 9000), b"z" * 9000, formats.elf_object("")[:17], formats.macho_object("")[:15], b"", None]
+    df = spark.createDataFrame([(str(k), c) for k, c in enumerate(files)], "path string, content binary")
+    ((frame, _),) = sent_to_python(monkeypatch, df, objects.object_kinds)
+    assert frame.agg(F.max(F.octet_length("content"))).first()[0] <= formats.HEAD_BYTES
+    assert [r.kind for r in objects.object_kinds(df).orderBy("path").collect()] == ["object"] * 2 + ["unparsable"] * 5
