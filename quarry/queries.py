@@ -175,7 +175,7 @@ def extract_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sections_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A section is added to objects that have one already."""
     docs = _table(spark, sf_dir, "documents").select(F.concat(F.lit("/obj/"), F.col("doc_id"), F.lit(".o")).alias("path"), F.concat(F.lit("/code/"), F.col("doc_id"), F.lit(".bc")).alias("line"), "text")
-    first = objects.embed_as(docs, "text", ".notes")
+    first = objects.embed_as(docs, "text", ".notes").drop("text")
     added = objects.embed(first, "line")
     own = objects.section_table(added).select("path", "section_pos", "name", F.when(F.col("name") != ".shstrtab", F.col("size")).alias("size"))
     return own.join(objects.section_texts(added).select("path", "text"), "path")

@@ -133,3 +133,13 @@ def test_kinds_need_the_heads_only(spark, monkeypatch):
     ((frame, _),) = sent_to_python(monkeypatch, df, objects.object_kinds)
     assert frame.agg(F.max(F.octet_length("content"))).first()[0] <= formats.HEAD_BYTES
     assert [r.kind for r in objects.object_kinds(df).orderBy("path").collect()] == ["object"] * 2 + ["unparsable"] * 5
+
+
+def test_added_sections_leave_in_small_batches(spark, monkeypatch):
+    df = spark.createDataFrame([], "line string, content binary")
+    ((_, run),) = sent_to_python(monkeypatch, df, lambda d: objects.embed(d, "line"))
+    own = objects.pa.RecordBatch.from_pydict({"line": [f"/{k}" for k in range(40)] + ["x"], "content": [formats.elf_object("x" * 300_000)] * 40 + [b"text"]})
+    out = list(run(iter([own])))
+    assert [r for b in out for r in b.column("line").to_pylist()] == own.column("line").to_pylist() and len(out) > 9
+    texts = [formats.embedded_text(c) if c else None for b in out for c in b.column("content").to_pylist()]
+    assert texts[:40] == ["x" * 300_000] * 40 and texts[40] is None and out[-1].column("embed_error")[-1].as_py() is not None
