@@ -143,3 +143,12 @@ def test_added_sections_leave_in_small_batches(spark, monkeypatch):
     assert [r for b in out for r in b.column("line").to_pylist()] == own.column("line").to_pylist() and len(out) > 9
     texts = [formats.embedded_text(c) if c else None for b in out for c in b.column("content").to_pylist()]
     assert texts[:40] == ["x" * 300_000] * 40 and texts[40] is None and out[-1].column("embed_error")[-1].as_py() is not None
+
+
+def test_archives_leave_in_small_batches(spark, monkeypatch):
+    df = spark.createDataFrame([], "lib int, k int, name string, content binary")
+    ((_, run),) = sent_to_python(monkeypatch, df, lambda d: objects.archive_of(d, "lib", "k", "name"))
+    group = [{"o": k, "n": f"{k}.o", "c": bytes(300_000)} for k in range(2)]
+    out = list(run(iter([objects.pa.RecordBatch.from_pydict({"path": [str(k) for k in range(40)], "files": [group] * 40})])))
+    assert sum(b.num_rows for b in out) == 40 and max(b.nbytes for b in out) < objects.CHUNK_BYTES + 700_000
+    assert all(list(formats.members(c)) == [("0.o", bytes(300_000)), ("1.o", bytes(300_000))] for b in out for c in b.column("content").to_pylist())
