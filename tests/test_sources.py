@@ -152,3 +152,13 @@ def test_archives_leave_in_small_batches(spark, monkeypatch):
     out = list(run(iter([objects.pa.RecordBatch.from_pydict({"path": [str(k) for k in range(40)], "files": [group] * 40})])))
     assert sum(b.num_rows for b in out) == 40 and max(b.nbytes for b in out) < objects.CHUNK_BYTES + 700_000
     assert all(list(formats.members(c)) == [("0.o", bytes(300_000)), ("1.o", bytes(300_000))] for b in out for c in b.column("content").to_pylist())
+
+
+def test_parsed_rows_share_batches(spark, monkeypatch):
+    df = spark.createDataFrame([], "path string, content binary")
+    ((_, run),) = sent_to_python(monkeypatch, df, objects.section_texts)
+    small, large = formats.elf_object("/a.bc"), formats.macho_object("/" * 700_000)
+    own = objects.pa.RecordBatch.from_pydict({"path": [str(k) for k in range(2010)], "content": [small] * 2000 + [large] * 10})
+    out = list(run(iter([own])))
+    assert [r for b in out for r in b.column("path").to_pylist()] == own.column("path").to_pylist()
+    assert len(out) < 10 and max(b.nbytes for b in out) < objects.CHUNK_BYTES + 800_000
