@@ -5,6 +5,7 @@ The values below are fixed: they must be these for right results.
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 from pyspark.sql import Column
@@ -146,15 +147,32 @@ def java_pattern(pattern: str) -> str:
     return "(?dU)" + (pattern[:-1] + r"\z" if pattern.endswith("$") else pattern)
 
 
+def literal_start(pattern: str) -> str:
+    """What every match of a pattern that begins with ^ begins with."""
+    return re.match(r"\^((?:[A-Za-z0-9=,-](?![?*+{]))*)", pattern).group(1)
+
+
 def rule_of(token: Column) -> Column:
     """struct(handler, arity) of a token; handler `group` at a linker group's
-    start, null where no rule matches."""
+    start, null where no rule matches.
+
+    A pattern costs much more than a look at how the token begins, and a map is
+    searched from its start: so exact rules are found by length first, and patterns
+    are tried only on tokens that begin as they do."""
 
     def rule(handler: str | None, arity: int = 0) -> Column:
         return F.struct(F.lit(handler).cast("string").alias("handler"), F.lit(arity).alias("arity"))
 
-    exact = F.create_map(*chain.from_iterable((F.lit(flag), rule(*r)) for flag, r in EXACT_RULES.items()))
-    by_pattern = F.when(token == GROUP_START, rule("group"))
+    by_length: dict[int, dict[str, tuple]] = {}
+    for flag, own in EXACT_RULES.items():
+        by_length.setdefault(len(flag), {})[flag] = own
+    maps = {n: F.create_map(*chain.from_iterable((F.lit(flag), rule(*r)) for flag, r in own.items())) for n, own in by_length.items()}
+    exact = F.create_map(*chain.from_iterable((F.lit(n), own) for n, own in sorted(maps.items())))
+    flags, others = F.when(token == GROUP_START, rule("group")), F
     for pattern, handler in PATTERNS:
-        by_pattern = by_pattern.when(token.rlike(java_pattern(pattern)), rule(handler))
-    return F.coalesce(F.try_element_at(exact, token), by_pattern.otherwise(rule(None)))
+        start, found = literal_start(pattern), token.rlike(java_pattern(pattern))
+        flags = flags.when(F.startswith(token, F.lit(start)) & found if start else found, rule(handler))
+        if not start:
+            others = others.when(found, rule(handler))
+    by_pattern = F.when(F.startswith(token, F.lit("-")), flags.otherwise(rule(None))).otherwise(others.otherwise(rule(None)))
+    return F.coalesce(F.try_element_at(F.try_element_at(exact, F.length(token)), token), by_pattern)
