@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import paths
+from quarry.functions.once import computed_once
 from quarry.operators.classify import compile_mode, skip_reason, without_forbidden
 from quarry.plans.rules import LOG_LEVELS, OPTION_KEYS, UNUSED_KEYS
 
@@ -129,28 +130,41 @@ def command_plan(parsed: DataFrame, options: Options) -> DataFrame:
     """
     store = None if options.store is None else F.lit(options.store)
     cc = _compiler(options)
+    sources, made, whole = _free("sources", parsed), _free("made", parsed), _free("whole", parsed)
 
     def command(kind: str, args: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), args.alias("args"))
 
-    def steps(src: Column) -> Column:
-        obj, code = paths.object_path(src, F.col("is_compile_only")), paths.bitcode_path(src, store)
+    def names(src: Column) -> Column:
+        return F.struct(src.alias("src"), paths.object_path(src, F.col("is_compile_only")).alias("obj"), paths.bitcode_path(src, store).alias("code"))
+
+    def steps(m: Column) -> Column:
+        src, obj, code = m["src"], m["obj"], m["code"]
         is_code = F.coalesce(paths.extension(src) == "bc", F.lit(False))
         build = command("object", F.concat(cc, F.col("compile_args"), F.array(F.lit("-c"), F.lit("-o"), obj, src)))
         make = command("bitcode", F.concat(cc, F.col("compile_args"), _strings(options.bitcode_flags), F.array(F.lit("-emit-llvm"), F.lit("-c"), F.lit("-o"), code, src)))
         embed = command("embed", F.array(paths.used_bitcode(src, code), obj))
         return F.filter(F.array(F.when(~F.col("is_compile_only"), build), F.when(~is_code, make), embed), lambda x: x.isNotNull())
 
-    sources = _sources(parsed)
+    # worked out once each: sources of commands that have steps, and their paths
+    reason = skip_reason(options.configure_only)
+    own = parsed.where("error is null").withColumn(sources, computed_once(F.when(reason.isNull(), _sources(parsed))))
     lost = F.filter(sources, lambda s: ~paths.is_absolute(s))
-    objects = F.transform(sources, lambda s: paths.object_path(s, F.col("is_compile_only")))
+    own = own.withColumn(made, computed_once(F.when(F.size(lost) == 0, F.transform(sources, names))))
+    objects = F.transform(made, lambda m: m["obj"])
     lto = F.when(F.col("is_lto"), _strings(options.lto_flags)).otherwise(_strings([]))
     link = command("link", F.concat(cc, lto, F.col("link_args"), F.array(F.lit("-o"), _absolute(parsed, F.col("output_filename"))), objects))
-    inner = F.flatten(F.transform(sources, steps))
     # only compiling leaves nothing to link, and without an output there is nowhere to
     links = ~F.col("is_compile_only") & (F.col("output_filename") != "")
-    inner = F.concat(inner, F.when(links, F.array(link)).otherwise(F.slice(F.array(link), 1, 0)))
-    inner = F.when(F.size(lost) > 0, F.array(command("error", F.concat(F.array(F.lit("source path is not absolute")), lost)))).otherwise(inner)
-    whole = F.concat(F.array(command("build", build_command(options))), F.when(skip_reason(options.configure_only).isNull(), inner).otherwise(F.slice(inner, 1, 0)))
-    rows = parsed.where("error is null").select("cmd_id", F.posexplode(whole).alias("step", "c"))
+    none = F.slice(F.array(command("build", _strings([]))), 1, 0)
+    inner = F.concat(F.flatten(F.transform(made, steps)), F.when(links, F.array(link)).otherwise(none))
+    inner = F.when(F.col(sources).isNull(), none).when(F.size(lost) > 0, F.array(command("error", F.concat(F.array(F.lit("source path is not absolute")), lost)))).otherwise(inner)
+    own = own.withColumn(whole, computed_once(F.concat(F.array(command("build", build_command(options))), inner)))
+    rows = own.select("cmd_id", F.posexplode(whole).alias("step", "c"))
     return rows.select("cmd_id", "step", "c.kind", "c.args")
+
+
+def _free(name: str, df: DataFrame) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
