@@ -161,7 +161,7 @@ def _mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     elf = objects.embed(docs.where("doc_id % 3 <> 1")).select("doc_id", "content")
     macho = objects.embed_macho(docs.where("doc_id % 3 = 1")).select("doc_id", "content")
     packed = elf.where("doc_id % 3 = 2").withColumn("name", F.concat(F.lit("member_of_"), F.col("doc_id"), F.lit(".o")))
-    packed = objects.archive_of(packed, "doc_id", "doc_id", "name").select(F.col("path").alias("doc_id"), "content")
+    packed = objects.archive_as(packed, "doc_id", "doc_id", "name").select(F.col("path").alias("doc_id"), "content")
     made = elf.where("doc_id % 3 = 0").unionByName(macho).unionByName(packed).select(F.concat(F.lit("/in/"), "doc_id", F.lit(".x")).alias("path"), "content")
     pages = _table(spark, sf_dir, "pages").select(F.concat(F.lit("/page/"), F.col("page_id"), F.lit(".x")).alias("path"), F.encode("html", "utf-8").alias("content"))
     return made.unionByName(pages)
@@ -190,7 +190,7 @@ def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _object_files(spark, sf_dir).withColumn("lib", F.floor(F.col("doc_id") / 16))
-    return objects.archive_of(own.withColumn("name", F.concat(F.lit("object_number_"), F.col("doc_id"), F.lit(".o"))), "lib", "doc_id", "name")
+    return objects.archive_as(own.withColumn("name", F.concat(F.lit("object_number_"), F.col("doc_id"), F.lit(".o"))), "lib", "doc_id", "name")
 
 
 def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.sources import formats
 
@@ -243,3 +244,31 @@ def archive_of(objects: DataFrame, group: str, order: str, name: str, content: s
             yield from _chunks(made, [pa.string(), pa.binary()], ["path", "content"])
 
     return packed.select(F.col(group).cast("string").alias("path"), "files").mapInArrow(run, "path string, content binary")
+
+
+def archive_as(objects: DataFrame, group: str, order: str, name: str, content: str = "content") -> DataFrame:
+    """``archive_of``'s rows, built by expressions, so members don't leave the JVM.
+
+    A long name's place in the name table is the length of those before it, a sum
+    over the group's window; the members are joined in that window's order."""
+    by = Window.partitionBy("path").orderBy("o", "n", "c")
+    given = {k: F.coalesce(F.col(v), F.raise_error(F.lit(f"archive member without {v}"))) for k, v in (("n", name), ("c", content))}
+    own = objects.select(F.col(group).alias("path"), F.col(order).alias("o"), given["n"].cast("binary").alias("n"), given["c"].alias("c"))
+    own = own.withColumn("long", F.when(F.octet_length("n") > 15, F.concat("n", F.lit(b"/\n"))))
+    before = F.coalesce(F.sum(F.octet_length("long")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = own.select("path", "long", "n", "c", before.alias("before"), F.row_number().over(by).alias("at"))
+    short = F.concat("n", F.lit(b"/"))
+    short = F.concat(short, F.substr(F.lit(b" " * 16), F.lit(1), 16 - F.octet_length(short)))
+    named = F.when(F.col("long").isNull(), short).otherwise(F.rpad(F.concat(F.lit("/"), F.col("before").cast("string")), 16, " ").cast("binary"))
+    own = own.select("path", "at", "long", _member(named, F.col("c")).alias("member"))
+    joined = (F.expr(f"listagg({c}) WITHIN GROUP (ORDER BY at)").alias(c) for c in ("long", "member"))
+    packed = own.groupBy("path").agg(*joined)
+    table = F.when(F.col("long").isNull(), F.lit(b"")).otherwise(_member(F.lit(b"//".ljust(16)), F.col("long")))
+    return packed.select(F.col("path").cast("string").alias("path"), F.concat(F.lit(formats.ARCHIVE), table, "member").alias("content"))
+
+
+def _member(name: Column, content: Column) -> Column:
+    """A member of an archive under its name, padded to 16 bytes."""
+    size = F.octet_length(content)
+    head = F.concat(name, F.lit(formats.MEMBER), F.rpad(size.cast("string"), 10, " ").cast("binary"), F.lit(b"`\n"))
+    return F.concat(head, content, F.when(size % 2 == 1, F.lit(b"\n")).otherwise(F.lit(b"")))

@@ -162,3 +162,31 @@ def test_parsed_rows_share_batches(spark, monkeypatch):
     out = list(run(iter([own])))
     assert [r for b in out for r in b.column("path").to_pylist()] == own.column("path").to_pylist()
     assert len(out) < 10 and max(b.nbytes for b in out) < objects.CHUNK_BYTES + 800_000
+
+
+def test_archives_by_expressions_are_those_of_the_format(spark):
+    names = ["a.o", "", "x" * 14, "y" * 15, "z" * 16, "z" * 16, "ü" * 8, "member_with_a_long_name.o", "\U0001f600.o", "last.o"]
+    members = [(g, k, n, bytes([65 + k]) * (k * k % 7)) for g in (1, 2, None) for k, n in enumerate(names) if g != 2 or k < 3]
+    members += [(1, 4, "z" * 16, b"again"), (3, 0, "only_this_one_in_its_archive", b""), (1, 30, "long_at_the_end_of_all", b"y" * 70_000)]
+    df = spark.createDataFrame(members, "lib int, k int, name string, content binary").repartition(3)
+    built = objects.archive_as(df, "lib", "k", "name")
+    assert "MapInArrow" not in built._jdf.queryExecution().toString()
+    want = {}
+    for g in (1, 2, 3, None):
+        own = sorted((k, n, c) for h, k, n, c in members if h == g)
+        want[None if g is None else str(g)] = formats.archive([(n, c) for _, n, c in own])
+    assert {r.path: bytes(r.content) for r in built.collect()} == want
+    assert {r.path: bytes(r.content) for r in objects.archive_of(df, "lib", "k", "name").collect()} == want
+    same = objects.archive_as(df.where("lib = 2"), "k", "k", "name")
+    assert {r.path: bytes(r.content) for r in same.collect()} == {str(k): formats.archive([(n, c)]) for g, k, n, c in members if g == 2}
+    for bad in ("name", "content"):
+        with pytest.raises(Exception, match=f"archive member without {bad}"):
+            objects.archive_as(df.withColumn(bad, F.lit(None).cast(df.schema[bad].dataType)), "lib", "k", "name").collect()
+
+
+def test_made_archives_stay_in_the_jvm(spark):
+    """A task of these queries has one step in Python, that which parses."""
+    from quarry import queries
+
+    for made in (queries._archives, queries._mixed_files):
+        assert "MapInArrow" not in made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
