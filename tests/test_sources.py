@@ -190,3 +190,18 @@ def test_made_archives_stay_in_the_jvm(spark):
 
     for made in (queries._archives, queries._mixed_files):
         assert "MapInArrow" not in made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_files_of_no_known_format_stay_behind(spark, monkeypatch):
+    known = [formats.elf_object("/a.bc" * 900), formats.macho_object("/b.bc" * 900), formats.archive([("c.o", formats.elf_object("/c.bc" * 900))])]
+    other = [b"z" * 9000, b"!<arch>" + b"z" * 9000, b"\x7fEL", b"", None]
+    df = spark.createDataFrame([(str(k), c) for k, c in enumerate(known + other)], "path string, content binary")
+    ((frame, _),) = sent_to_python(monkeypatch, df, objects.section_texts)
+    sent = {r.path: r.content for r in frame.collect()}
+    assert [sent[str(k)] for k in range(3)] == known and max(len(sent[str(k)] or b"") for k in range(3, 8)) == 8
+    found = {r.path: (r.text, r.error) for r in objects.section_texts(df).collect()}
+    assert [found[str(k)] for k in range(3)] == [(f"/{c}.bc" * 900, None) for c in "abc"]
+    assert [found[str(k)] for k in range(3, 8)] == [(None, "unsupported file format")] * 5
+    refused = {r.path: r.error for r in objects.archive_members(df).collect()}
+    assert refused["2"] is None and [refused[str(k)] for k in (0, 1, 3, 4, 5, 6, 7)] == ["not an archive"] * 7
+    assert {r.error for r in objects.section_table(df).where("path > '1'").collect()} == {"unsupported file format"}
